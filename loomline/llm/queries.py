@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import quality_rules, secret_scan, sharding
+from loomline.llm import near_dedup, packing, quality_rules, secret_scan, sharding
 from loomline.llm.common import table
 from loomline.llm.sql import ORACLES
 
@@ -34,6 +34,23 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs).select("doc_id", "n_chars", "slot", "shard")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def word_tokenizer() -> str:
+    """Where the word-level BPE of the public tokenizers lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, word_tokenizer())
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     judged = quality_rules.apply_policy(book)
@@ -48,6 +65,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op6_sharding": op6_sharding,
+        "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op9_packing": op9_packing,
         "op10_quality_rules": op10_quality_rules,
     }
 
