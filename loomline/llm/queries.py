@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import near_dedup, packing, quality_rules, secret_scan, sharding
-from loomline.llm.common import table
+from loomline.llm import lattice_lm, near_dedup, packing, quality_rules, secret_scan, sharding
+from loomline.llm.common import crc_fold, table
 from loomline.llm.sql import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,19 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def piece_vocabulary() -> str:
+    """Where the piece vocabulary of the public tokenizers lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lattice_lm.score_texts(docs, piece_vocabulary(), crc_fold("doc_id") != 1)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     return sharding.assign_shards(docs).select("doc_id", "n_chars", "slot", "shard")
@@ -64,6 +77,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op5_lm_scoring": op5_lm_scoring,
         "op6_sharding": op6_sharding,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op9_packing": op9_packing,
