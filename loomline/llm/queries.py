@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import lattice_lm, near_dedup, packing, quality_rules, secret_scan, sharding
+from loomline.llm import lattice_lm, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding
 from loomline.llm.common import crc_fold, table
 from loomline.llm.sql import ORACLES
 
@@ -29,6 +29,13 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    held_out = crc_fold("doc_id") == 0
+    return quality_classifier.classify(docs, labels, ~held_out).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def piece_vocabulary() -> str:
     """Where the piece vocabulary of the public tokenizers lies."""
     import public_tokenizers
@@ -77,6 +84,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_lm_scoring": op5_lm_scoring,
         "op6_sharding": op6_sharding,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
