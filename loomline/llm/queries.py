@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import lattice_lm, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding
+from loomline.llm import ann_forest, lattice_lm, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding
 from loomline.llm.common import crc_fold, table
 from loomline.llm.sql import ORACLES
 
@@ -29,6 +29,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = ann_forest.search(vectors, F.col("id") % 100 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -84,6 +90,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op3_ann_search": op3_ann_search,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_lm_scoring": op5_lm_scoring,
         "op6_sharding": op6_sharding,
