@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import ann_forest, lattice_lm, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding
+from loomline.llm import ann_forest, lattice_lm, near_dedup, packing, piece_codec, quality_classifier, quality_rules, secret_scan, sharding
 from loomline.llm.common import crc_fold, table
 from loomline.llm.sql import ORACLES
 
@@ -29,6 +29,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = piece_codec.decode(piece_codec.encode(docs, piece_vocabulary()), piece_vocabulary())
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op3_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     found = ann_forest.search(vectors, F.col("id") % 100 == 0)
@@ -90,6 +96,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_ann_search": op3_ann_search,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_lm_scoring": op5_lm_scoring,
