@@ -1,15 +1,18 @@
 """Near-duplicate documents by MinHash with odd sketches.
 
 A document's set holds its distinct word shingles. Documents with equal sets form a class;
-the classes' MinHash samples give band keys, and an odd sketch: a bitmap in which each sample
-flips one bit, so that the XOR of two has few bits for similar sets. Classes that share a
-band key are candidates; pairs whose sketches differ in more than MOST_BITS bits fall away,
-the others are confirmed on their full sets.
-
-Within a key every class is compared with the key's first class. Components of the links so
-found are formed, and only keys that still hold several components are compared further, in
-blocks of classes of different components; so no link that a key can show is lost, and a
-key with many alike documents costs in proportion to its rows.
+the classes' MinHash samples give band keys, and two odd sketches: bitmaps in which each
+sample flips one bit, so that the XOR of two has few bits for similar sets. One folds the
+bands' samples; the other folds the samples of a permutation with a bin for every shingle,
+so its XOR never has more bits than the sets have different shingles. Classes that share a
+band key are candidates; pairs whose sketches differ too much fall away, the others are
+confirmed on their full sets.
+
+Within a key every class is compared with the key's hub, the class that shares keys with
+most others (of near copies, the text they were made from). Components of the links so found
+are formed, and only keys that still hold several components are compared further, in blocks
+of classes of different components; so no link that a key can show is lost, and a key with
+many alike documents costs in proportion to its rows.
 
 Defined results: null texts and texts without words have an empty set and link with nothing;
 words are lower-cased in A-Z only; repeated rows are one class; a null id never names a
@@ -36,6 +39,8 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_WORDS = 8
 BITS = 64 * SKETCH_WORDS
+SET_WORDS = 16
+SET_BITS = 64 * SET_WORDS
 #: About 45 of 128 samples differing; at similarity 0.85 the mean is 19 and 4 the deviation.
 MOST_BITS = 84
 #: Percent of the union that the intersection must have.
@@ -91,18 +96,20 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
 def sketch_rows(texts: pa.Array) -> dict[str, np.ndarray]:
     """For each text with words: its number, set size, class, band keys, and sketch."""
     data, at = textscan.buffers(texts)
-    numbers, sizes, classes, samples = [], [], [], []
+    numbers, sizes, classes, samples, parity = [], [], [], [], []
     for number, words in text_words(data, at):
         own = shingle_set(words)
         numbers.append(number)
         sizes.append(len(own))
         classes.append(class_of(own))
         samples.append(minhash(own))
+        parity.append(np.bincount((own & np.uint64(SET_BITS - 1)).astype(np.int64), minlength=SET_BITS).astype(np.uint8) & 1)
     drawn = np.array(samples, np.uint64).reshape(-1, SAMPLES)
     keys = (textscan.mix(drawn) * _BAND).reshape(-1, BANDS, ROWS).sum(axis=2) + _BAND_NO
     places = (textscan.mix(drawn + _PLACE) % np.uint64(BITS)).astype(np.int64) + np.arange(len(drawn))[:, None] * BITS
     odd = np.bincount(places.ravel(), minlength=len(drawn) * BITS).astype(np.uint8) & 1
-    sketch = np.packbits(odd.reshape(-1, BITS), axis=1).view(np.int64) if len(drawn) else np.zeros((0, SKETCH_WORDS), np.int64)
+    both = np.concatenate([odd.reshape(-1, BITS), np.array(parity, np.uint8).reshape(-1, SET_BITS)], axis=1)
+    sketch = np.packbits(both, axis=1).view(np.int64) if len(drawn) else np.zeros((0, SKETCH_WORDS + SET_WORDS), np.int64)
     return {"number": np.array(numbers, np.int64), "n_shingles": np.array(sizes, np.int64), "cls": classes, "keys": textscan.mix(keys).view(np.int64), "sketch": sketch}
 
 
@@ -136,16 +143,28 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     return docs.select(id_col, F.xxhash64(text_of(text)).alias("th"), text).mapInArrow(run, schema)
 
 
-def _apart(a: Column, b: Column) -> Column:
-    """Bits in which two sketches differ."""
-    bits = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH_WORDS)]
+def _apart(a: Column, b: Column, words: range) -> Column:
+    """Bits in which two sketches differ in the given words."""
+    bits = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in words]
     return sum(bits[1:], bits[0])
 
 
-def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def most_set_bits(sizes: np.ndarray | Column, exp, least: int = LEAST):  # noqa: ANN001, ANN201
+    """Bits that the set sketches of a similar pair may differ in, from the sum of its sizes:
+    where few flips meet, their number bounds the bits; where many do, the bits' mean plus
+    six deviations."""
+    flips = sizes * ((100 - least) / (100 + least))
+    mean = (1 - exp(flips * (-2 / SET_BITS))) * (SET_BITS / 2)
+    return flips, mean + 6 * (SET_BITS**0.5 / 2)
+
+
+def _close(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     """Those of the pairs a, b whose sketches are close."""
-    of = lambda c: classes.select(F.col("cls").alias(c), F.col("sketch").alias(f"s{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").filter(_apart(F.col("sa"), F.col("sb")) <= MOST_BITS).select("a", "b")
+    of = lambda c: classes.select(F.col("cls").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n_shingles").alias(f"n{c}"))
+    x, y = F.col("sa"), F.col("sb")
+    bound, likely = most_set_bits((F.col("na") + F.col("nb")).cast("double"), F.exp, least)
+    near = (_apart(x, y, range(SKETCH_WORDS)) <= MOST_BITS) & (_apart(x, y, range(SKETCH_WORDS, SKETCH_WORDS + SET_WORDS)) <= F.least(bound, likely) + 1e-6)
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(near).select("a", "b")
 
 
 def class_sets(texts: DataFrame) -> DataFrame:
@@ -178,27 +197,29 @@ def confirm(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "xa", "xb").mapInArrow(run, "a binary, b binary")
 
 
-def _crossing(members: DataFrame) -> DataFrame:
-    """members: key, cls, root, sketch, n (rows of the key). Close pairs a, b of one key and
+def _crossing(members: DataFrame, least: int) -> DataFrame:
+    """members: key, cls, root, sketch, n_shingles, n (rows of the key). Close pairs a, b of one key and
     different roots: the key's rows are dealt to blocks, and each pair of blocks is one group."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
-    dealt = dealt.select("key", "cls", "root", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cls", "root", "sketch")
+    dealt = dealt.select("key", "cls", "root", "sketch", "n_shingles", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cls", "root", "sketch", "n_shingles")
 
     def run(table: pa.Table) -> pa.Table:
         n = table.num_rows
         lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
         block = table["block"].to_numpy()
-        sketch = table["sketch"].combine_chunks().flatten().to_numpy().reshape(n, SKETCH_WORDS).view(np.uint64)
+        sketch = table["sketch"].combine_chunks().flatten().to_numpy().reshape(n, SKETCH_WORDS + SET_WORDS).view(np.uint64)
+        sizes = table["n_shingles"].to_numpy().astype(float)
         cls, root = table["cls"].combine_chunks(), table["root"].combine_chunks().dictionary_encode().indices.to_numpy()
         one, two = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
         a, b = [], []
         for i in one.tolist():
             others = two if lo != hi else two[two > i]
             others = others[root[others] != root[i]]
-            bits = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1)
-            found = others[bits <= MOST_BITS]
+            bits = np.bitwise_count(sketch[others] ^ sketch[i])
+            most = np.minimum(*most_set_bits(sizes[others] + sizes[i], np.exp, least)) + 1e-6
+            found = others[(bits[:, :SKETCH_WORDS].sum(axis=1) <= MOST_BITS) & (bits[:, SKETCH_WORDS:].sum(axis=1) <= most)]
             a.append(np.full(len(found), i))
             b.append(found)
         none = np.zeros(0, np.int64)
@@ -211,13 +232,15 @@ def _crossing(members: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, drawn: DataFrame, text: str = "text", least: int = LEAST) -> DataFrame:
     """Components of the classes of drawn (sketches of docs): node, root, for linked classes."""
-    classes = stored(drawn.filter("cls is not null").select("cls", "th", "keys", "sketch").dropDuplicates(["cls"]), "classes")
+    classes = stored(drawn.filter("cls is not null").select("cls", "th", "n_shingles", "keys", "sketch").dropDuplicates(["cls"]), "classes")
     keyed = classes.select(F.explode("keys").alias("key"), "cls")
     # keys of one class only, most of them, show no pair
-    groups = stored(keyed.groupBy("key").agg(F.min("cls").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "groups")
+    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stored(keyed.join(groups, "key"), "members")
-    star = members.filter("cls <> a").select("a", F.col("cls").alias("b")).distinct()
-    pairs = stored(_close(star, classes), "pairs")
+    shared = members.groupBy("cls").agg(F.sum("n").alias("shared"))
+    hubs = members.join(shared, "cls").groupBy("key").agg(F.max(F.struct("shared", "cls"))["cls"].alias("a"))
+    star = members.join(hubs, "key").filter("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+    pairs = stored(_close(star, classes, least), "pairs")
 
     texts = docs.select(F.xxhash64(text_of(text)).alias("th"), text_of(text).alias("text")).groupBy("th").agg(F.first("text").alias("text"))
     wanted = members.select("cls").distinct().join(classes.select("cls", "th"), "cls").select("th").distinct()
@@ -227,9 +250,9 @@ def links(docs: DataFrame, drawn: DataFrame, text: str = "text", least: int = LE
     roots = components(first)
     named = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    open_ = named.join(mixed, "key").join(classes.select("cls", "sketch"), "cls").select("key", "cls", "root", "sketch", "n")
+    open_ = named.join(mixed, "key").join(classes.select("cls", "sketch", "n_shingles"), "cls").select("key", "cls", "root", "sketch", "n_shingles", "n")
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = confirm(_crossing(open_).join(tried, ["a", "b"], "left_anti"), sets, least)
+    second = confirm(_crossing(open_, least).join(tried, ["a", "b"], "left_anti"), sets, least)
     return components(first.union(second))
 
 
