@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import ann_forest, lattice_lm, near_dedup, packing, piece_codec, quality_classifier, quality_rules, secret_scan, sharding
+from loomline.llm import ann_forest, lattice_lm, near_dedup, packing, piece_codec, quality_classifier, quality_rules, secret_scan, sharding, suffix_dedup
 from loomline.llm.common import crc_fold, table
 from loomline.llm.sql import ORACLES
 
@@ -71,6 +71,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.measure_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def word_tokenizer() -> str:
     """Where the word-level BPE of the public tokenizers lies."""
     import public_tokenizers
@@ -102,6 +106,7 @@ def queries() -> dict[str, Query]:
         "op5_lm_scoring": op5_lm_scoring,
         "op6_sharding": op6_sharding,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_packing": op9_packing,
         "op10_quality_rules": op10_quality_rules,
     }
