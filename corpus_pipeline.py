@@ -1,23 +1,66 @@
 """The corpus pipeline: documents through quality rules, near-dedup, repeated passages,
-secret redaction and packing. Each stage's result is written and read again by the next."""
+secret redaction and packing. Each stage's result is written as Parquet and read again as
+the next one's documents; all but the last return the columns of documents.
+
+Defined results: rows that the rules reject go; of each group of near duplicates one row
+stays; repeated passages are cut out of all texts that hold them, and the texts stay, empty
+if nothing else is left; secrets are replaced by a mark; n_chars follows the text. An empty
+table gives no pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomline.llm import near_dedup, packing, quality_rules, secret_scan, suffix_dedup
+from loomline.llm.common import stored, table, text_of
+from loomline.llm.queries import word_tokenizer
 
-STAGES: list = []
-#: No SQL: near-dedup by components, suffix sorting and tokenizing are beyond it; tests/llm
-#: holds run() against a brute-force version.
+#: No SQL: components, suffix sorting and tokenizing are beyond it; tests/llm holds run()
+#: against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars as the text now is."""
+    return docs.withColumn("n_chars", F.length(text_of("text")).cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = docs.select(F.struct(*docs.columns).alias("row_"), "text")
+    return quality_rules.kept_rows(quality_rules.ledger(rows, keep=("row_",))).select("row_.*")
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(suffix_dedup.cut_text(docs))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(docs)
+    return _counted(found.withColumn("text", secret_scan.redact(F.col("text"), F.col("secret_spans")))).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, word_tokenizer())
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("suffix_dedup", passages_stage),
+    ("secret_scan", secrets_stage),
+    ("packing", packing_stage),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents of sf_dir."""
-    from loomline.llm.common import stored, table
-
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -124,6 +124,13 @@ def apply_policy(book: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     return book.withColumns({"policy_version": F.lit(policy.version), "kept": ~rejected(policy)})
 
 
+def kept_rows(book: DataFrame, policy: Policy = STANDARD) -> DataFrame:
+    """The ledger's rows that the policy keeps. The verdict passes through a generator, so
+    that the optimizer doesn't copy all measuring into the filter."""
+    marked = book.select("*", F.explode(F.array(~rejected(policy))).alias("kept_"))
+    return marked.filter("kept_").drop("kept_")
+
+
 def ablations(book: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     """One row per rule of the policy: texts that fail it, texts that only it rejects, and
     texts kept without it. One aggregation over the bits, with a row per task to shuffle."""
