@@ -252,8 +252,13 @@ def links(docs: DataFrame, drawn: DataFrame, text: str = "text", least: int = LE
     mixed = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
     open_ = named.join(mixed, "key").join(classes.select("cls", "sketch", "n_shingles"), "cls").select("key", "cls", "root", "sketch", "n_shingles", "n")
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = confirm(_crossing(open_, least).join(tried, ["a", "b"], "left_anti"), sets, least)
-    return components(first.union(second))
+    crossing = stored(_crossing(open_, least).join(tried, ["a", "b"], "left_anti"), "crossing")
+    if crossing.isEmpty():
+        return roots
+    second = stored(confirm(crossing, sets, least), "links")
+    if second.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
