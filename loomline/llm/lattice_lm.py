@@ -48,7 +48,7 @@ def first_log_probs(path: str) -> np.ndarray:
     """Log probability of each piece id, and at the end of the text's end, from the scores:
     log probabilities are taken as they are, ranks as by Zipf's law."""
     v = load(path)
-    usable = v.normal | (np.arange(len(v.pieces)) >= 0) & np.isin(np.arange(len(v.pieces)), v.byte_ids)
+    usable = v.normal | np.isin(np.arange(len(v.pieces)), v.byte_ids)
     ranked = v.scores[v.normal].min() < -1000
     raw = -np.log(v.ranks + 10.0) if ranked else v.scores.copy()
     raw[~usable] = -np.inf
@@ -187,6 +187,7 @@ def chunked(docs: DataFrame, id_col: str, text: str, train: Column) -> DataFrame
     chunk, id_col, train, numbers and counts (packed) of their words, and n_words."""
     kind = dict(docs.dtypes)[id_col]
     schema = f"chunk string, word string, number int, uses long, `{id_col}` {kind}, train boolean, numbers binary, counts binary, n_words long"
+    columns = [x.split(" ")[0].strip("`") for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -197,12 +198,10 @@ def chunked(docs: DataFrame, id_col: str, text: str, train: Column) -> DataFrame
             lo = 0
             while lo < batch.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK, "right")) - 1)
-                yield from _chunk(f"{part}.{chunk}", batch.slice(lo, hi - lo), data, at[lo : hi + 1], schema_of)
+                yield from _chunk(f"{part}.{chunk}", batch.slice(lo, hi - lo), data, at[lo : hi + 1], columns)
                 lo, chunk = hi, chunk + 1
 
-    out = docs.select(id_col, train.alias("train"), text).mapInArrow
-    schema_of = [x.split(" ")[0].strip("`") for x in schema.split(", ")]
-    return out(run, schema)
+    return docs.select(id_col, train.alias("train"), text).mapInArrow(run, schema)
 
 
 def _chunk(name: str, rows: pa.RecordBatch, data: np.ndarray, at: np.ndarray, columns: list[str]) -> Iterator[pa.RecordBatch]:

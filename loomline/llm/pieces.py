@@ -12,7 +12,7 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6
 _BASE = np.uint64(0x9E3779B97F4A7C13)
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Vocabulary:
     """Pieces by id; ranks: 0 for the best score; byte_ids: id of each byte's piece."""
 
@@ -34,9 +34,6 @@ def _ids(vocabulary: Vocabulary) -> dict[str, int]:
     return {p: i for i, (p, n) in enumerate(zip(vocabulary.pieces, vocabulary.normal.tolist(), strict=True)) if n}
 
 
-Vocabulary.__hash__ = lambda self: id(self)  # type: ignore[method-assign]
-
-
 @lru_cache(maxsize=4)
 def load(path: str) -> Vocabulary:
     from sentencepiece import sentencepiece_model_pb2
