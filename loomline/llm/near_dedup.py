@@ -129,7 +129,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     """id_col, th (64-bit hash of the text), n_shingles, cls (null: empty set), keys, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textscan.sliced(batches):
             rows, n = sketch_rows(batch.column(2)), batch.num_rows
             place = np.full(n, len(rows["number"]), np.int64)
             place[rows["number"]] = np.arange(len(rows["number"]))
@@ -171,7 +171,7 @@ def class_sets(texts: DataFrame) -> DataFrame:
     """cls and the set, as packed 64-bit values, of each row's text; a row per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textscan.sliced(batches):
             data, at = textscan.buffers(batch.column(0))
             sets = [shingle_set(words) for _, words in text_words(data, at)]
             yield pa.RecordBatch.from_arrays([pa.array(map(class_of, sets), pa.binary()), pa.array((s.tobytes() for s in sets), pa.binary())], ["cls", "shingles"])
@@ -183,7 +183,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
     """Those of the pairs a, b with 100 * intersection >= least * union of their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textscan.sliced(batches):
             ok = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 one, two = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))

@@ -31,7 +31,7 @@ END = 1
 #: Texts that a group packs, on average.
 GROUP = 4096
 #: Distinct words whose ids a worker keeps.
-REMEMBER = 1_000_000
+REMEMBER = 700_000
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 
 #: The pre-token pattern that bpe.WordMerges stands for (a fixed value of such tokenizers).
@@ -150,7 +150,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: st
     schema = f"`{id_col}` {kind}, {PIECE}, draw long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textscan.sliced(batches):
             ids, offsets = encode_texts(batch.column(1), tokenizer, end)
             counts = np.diff(offsets)
             pieces = -(-counts // size)
@@ -171,6 +171,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: st
                 columns.append(pa.ListArray.from_arrays(pa.array(np.append(low, offsets[-1]).astype(np.int32)), pa.array(ids.astype(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        WordEncoder.of(tokenizer).forget()
 
     return docs.select(id_col, text).mapInArrow(run, schema)
 

@@ -39,7 +39,7 @@ from loomline.llm.common import free_name, stored, text_of
 
 SPAN = 200
 GRAM = 100
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 FULL, OPEN, BOTH = 0, 1, 2
 
 
@@ -102,7 +102,7 @@ def text_anchors(docs: DataFrame) -> DataFrame:
     << 16, the anchor's distance from it << 8, and the number of further windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textscan.sliced(batches):
             th = batch.column(0).to_numpy()
             data, at = textscan.buffers(batch.column(1))
             for lo, hi, start, stop in _segments(at, SPAN):
@@ -343,7 +343,7 @@ def _by_text(packed: DataFrame, buckets: int, with_text: bool) -> DataFrame:
             rows = [(None,) * 7 + (b, front_coded(sorted(x))) for b, x in strings.items()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-        for batch in batches:
+        for batch in textscan.sliced(batches):
             rows = []
             for th, packed, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = zstandard.decompress(packed) if packed else b""
@@ -363,7 +363,7 @@ def _by_text(packed: DataFrame, buckets: int, with_text: bool) -> DataFrame:
                     rows.append((th, *_result(text, spans, with_text), None, None, None, None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-            if held > 32 << 20:
+            if held > 16 << 20:
                 yield runs()
                 strings, held = {}, 0
         if strings:
@@ -396,7 +396,7 @@ def repeats(docs: DataFrame, text: str = "text", with_text: bool = False) -> Dat
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdCompressor(1)
-        for batch in batches:
+        for batch in textscan.sliced(batches, 8192):
             data, at = textscan.buffers(batch.column(1))
             raw, seen = memoryview(data), set()
             th, keep, packed = batch.column(0).to_pylist(), [], []
@@ -416,7 +416,7 @@ def repeats(docs: DataFrame, text: str = "text", with_text: bool = False) -> Dat
     waiting = parts.filter("packed is not null").select("th", "spans", "packed").join(spans, "th", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textscan.sliced(batches):
             rows = []
             for th, known, packed, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 both = np.concatenate([np.frombuffer(known, np.int64).reshape(-1, 2), np.array([(x["start"], x["end"]) for x in more or ()], np.int64).reshape(-1, 2)])

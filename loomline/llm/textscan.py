@@ -6,13 +6,14 @@ memory than many short ones (a text without any space is one block).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C13 | 3
@@ -128,6 +129,19 @@ def split_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[byt
     return [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], most: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that what is made of one stays small; at the
+    end a worker, which lives on for other tasks, gives back the memory it has freed."""
+    for batch in batches:
+        for k in range(0, max(batch.num_rows, 1), most):
+            yield batch.slice(k, most)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """starts[0], starts[0]+1, ... of each range, one after the other."""
     total = int(lengths.sum())
