@@ -28,44 +28,69 @@ from loomline.llm.bpe import NONE, PairTable
 from loomline.llm.pieces import SPACE, Vocabulary, load
 
 MARK = ord(SPACE)
-REMEMBER = 1_000_000
-BLOCK = 4 << 20
+REMEMBER = 500_000
+BLOCK = 2 << 20
 START = -1
 
 
-def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of codes in the order of the next `depth` values, by doubling."""
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
-    done = 1
-    while done < depth:
-        after = np.zeros(len(rank), np.int64)
-        after[: len(rank) - done] = rank[done:]
-        rank = np.unique(rank * (int(rank.max()) + 1) + after, return_inverse=True)[1].astype(np.int64) + 1
-        done *= 2
-    return np.argsort(rank, kind="stable")
-
-
-def occurrences(codes: np.ndarray, order: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each piece (a row of pieces, so many values long) the range of order that begins
-    with it: two binary searches, all pieces a step at a time."""
-    width = pieces.shape[1]
-    padded = np.append(codes, np.full(width, -1, codes.dtype))
-
-    def bound(above: bool) -> np.ndarray:
-        lo, hi = np.zeros(len(pieces), np.int64), np.full(len(pieces), len(order), np.int64)
-        while (open_ := np.flatnonzero(lo < hi)).size:
-            mid = (lo[open_] + hi[open_]) // 2
-            text = padded[order[mid][:, None] + np.arange(width)]
-            differ = (text != pieces[open_]) & (np.arange(width) < lengths[open_][:, None])
-            at = differ.argmax(axis=1)
-            rows = np.arange(len(open_))
-            same = ~differ[rows, at]
-            less = text[rows, at] < pieces[open_][rows, at]
-            right = np.where(same, above, less)
-            lo[open_[right]], hi[open_[~right]] = mid[right] + 1, mid[~right]
-        return lo
-
-    return bound(False), bound(True)
+class SuffixArray:
+    """Positions of codes (0 ends a word) in the order of the next `depth` values.
+
+    As many values as fit are packed into one key; keys are ranked, and pairs of ranks make
+    the keys of twice the width, until `depth` values are told apart."""
+
+    def __init__(self, codes: np.ndarray, depth: int):
+        n = len(codes)
+        present = np.zeros(int(codes.max(initial=0)) + 1, bool)
+        present[codes] = True
+        self.symbol = np.cumsum(present)
+        self.symbol[~present] = 0
+        self.bits = int(present.sum()).bit_length()
+        self.width = min(63 // self.bits, depth)
+        dense, key = self.symbol[codes], np.zeros(n, np.int64)
+        for k in range(self.width):
+            key <<= self.bits
+            key[: n - k] |= dense[k:]
+        self.ranked: list[np.ndarray] = []
+        self.spans, span = [self.width], self.width
+        while span < depth:
+            known, rank = np.unique(key, return_inverse=True)
+            self.ranked.append(known)
+            key = (rank + 1) * (len(known) + 1)
+            key[: n - span] += rank[span:] + 1
+            span *= 2
+            self.spans.append(span)
+        self.order = np.argsort(key, kind="stable")
+        self.keys = key[self.order]
+
+    def _keys(self, pieces: np.ndarray, lengths: np.ndarray, start: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Range of the level's keys that begin with the pieces' values from start on."""
+        if not level:
+            low, missing = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), bool)
+            for k in range(self.width):
+                low <<= self.bits
+                inside = lengths > start + k
+                code = np.where(inside, pieces[:, min(start + k, pieces.shape[1] - 1)], 0)
+                found = np.where(code < len(self.symbol), self.symbol[np.minimum(code, len(self.symbol) - 1)], 0)
+                missing |= inside & (found == 0)
+                low |= np.where(inside, found, 0)
+            rest = self.width - np.clip(lengths - start, 0, self.width)
+            return low, np.where(missing, low, low + (np.int64(1) << (rest * self.bits)))
+        known, half = self.ranked[level - 1], self.spans[level - 1]
+        base = len(known) + 1
+        lo, hi = (np.searchsorted(known, x) + 1 for x in self._keys(pieces, lengths, start, level - 1))
+        longer = lengths > start + half
+        if not longer.any():
+            return lo * base, hi * base
+        lo2, hi2 = (np.searchsorted(known, x) + 1 for x in self._keys(pieces, lengths, start + half, level - 1))
+        whole = hi == lo + 1
+        return np.where(longer, lo * base + lo2, lo * base), np.where(longer, np.where(whole, lo * base + hi2, lo * base + lo2), hi * base)
+
+    def occurrences(self, pieces: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each piece (a row of values, so many long) the range of order that begins with
+        it: binary searches for its first and last key."""
+        lo, hi = self._keys(pieces, lengths, 0, len(self.ranked))
+        return np.searchsorted(self.keys, lo), np.searchsorted(self.keys, hi)
 
 
 class Merges:
@@ -132,7 +157,7 @@ class Merges:
 
 
 class Codec:
-    """Encoder and decoder of one model; remembers the ids of words by their hash."""
+    """Encoder of one model; remembers the ids of words by their hash."""
 
     def __init__(self, path: str):
         self.v = v = load(path)
@@ -140,19 +165,13 @@ class Codec:
         usable = [(p, i) for p, i in v.ids.items() if self.merges.reached[i] == 1 and not (len(p) > 1 and set(p) == {SPACE})]
         self.piece_ids = np.array([i for _, i in usable], np.int64)
         self.lengths = np.array([len(p) for p, _ in usable], np.int64)
-        self.codes = np.full((len(usable), v.longest), -1, np.int64)
+        self.codes = np.zeros((len(usable), v.longest), np.int64)
         for row, (p, _) in enumerate(usable):
             self.codes[row, : len(p)] = [ord(c) for c in p]
         self.length_of = np.ones(len(v.pieces), np.int64)
         self.length_of[self.piece_ids] = self.lengths
         self.mark = v.ids.get(SPACE, v.unknown)
         self.lone = not any("\n" in p for p in v.ids)
-        raw = [b"" if not n else p.replace(SPACE, " ").encode() for p, n in zip(v.pieces, v.normal.tolist(), strict=True)]
-        for b, i in enumerate(v.byte_ids.tolist()):
-            if i >= 0:
-                raw[i] = bytes([b])
-        self.raw_at = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-        self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.forget()
 
     def forget(self) -> None:
@@ -173,10 +192,10 @@ class Codec:
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.cumsum(sizes + 1) - sizes - 1
-        order = suffix_array(codes, self.v.longest)
-        lo, hi = occurrences(codes, order, self.codes, self.lengths)
+        index = SuffixArray(codes, self.v.longest)
+        lo, hi = index.occurrences(self.codes, self.lengths)
         count = hi - lo
-        begin = order[textscan.ranges(lo, count)]
+        begin = index.order[textscan.ranges(lo, count)]
         piece, length = np.repeat(self.piece_ids, count), np.repeat(self.lengths, count)
         # characters that no piece matches are edges too
         bare = np.ones(len(codes), bool)
@@ -304,6 +323,19 @@ class Codec:
         counts = self.at[number + 1] - self.at[number]
         return self.ids[textscan.ranges(self.at[number], counts)], counts
 
+
+class Decoder:
+    """Texts of ids: the pieces' bytes one after the other, without the mark in front."""
+
+    def __init__(self, path: str):
+        self.v = v = load(path)
+        raw = [b"" if not n else p.replace(SPACE, " ").encode() for p, n in zip(v.pieces, v.normal.tolist(), strict=True)]
+        for b, i in enumerate(v.byte_ids.tolist()):
+            if i >= 0:
+                raw[i] = bytes([b])
+        self.raw_at = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The texts of ids[offsets[i]:offsets[i + 1]]."""
         ids = np.where((ids >= 0) & (ids < len(self.v.pieces)), ids, self.v.unknown)
@@ -327,15 +359,19 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col and ids (array<int>) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                ids, offsets = codec(model).encode(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], [id_col, "ids"])
+        for part in textscan.sliced(batches):
+            ids, offsets = codec(model).encode(part.column(1))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], [id_col, "ids"])
+        codec(model).forget()
 
     return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, ids array<int>")
 
@@ -344,11 +380,11 @@ def decode(coded: DataFrame, model: str, id_col: str = "doc_id", ids: str = "ids
     """id_col, ids and text, decoded, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textscan.sliced(batches):
             lists = batch.column(1)
             counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
             flat = np.asarray(pc.fill_null(lists.flatten(), -1), np.int64)
-            texts = codec(model).decode(flat, np.concatenate([[0], np.cumsum(counts)]))
+            texts = decoder(model).decode(flat, np.concatenate([[0], np.cumsum(counts)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())], [id_col, "ids", "text"])
 
     return coded.select(id_col, ids).mapInArrow(run, f"`{id_col}` {dict(coded.dtypes)[id_col]}, ids array<int>, text string")

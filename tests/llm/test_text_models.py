@@ -95,10 +95,11 @@ def test_piece_codec_is_the_librarys(spark, docs, prose):
 
 def test_suffix_array_and_occurrences():
     codes = np.array([ord(c) for c in "banana\0bandana\0"], np.int64)
-    order = C.suffix_array(codes, 16)
+    index = C.SuffixArray(codes, 16)
+    order = index.order
     text = "banana\0bandana\0"
     assert [text[i:] for i in order] == sorted(text[i:] for i in order)
-    lo, hi = C.occurrences(codes, order, np.array([[ord("a"), ord("n"), ord("a")], [ord("x"), -1, -1]]), np.array([3, 1]))
+    lo, hi = index.occurrences(np.array([[ord("a"), ord("n"), ord("a")], [ord("x"), 0, 0]]), np.array([3, 1]))
     assert sorted(order[lo[0] : hi[0]].tolist()) == [1, 3, 11] and lo[1] == hi[1]
 
 
