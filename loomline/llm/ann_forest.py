@@ -4,13 +4,19 @@ Each tree halves the space again and again: a node's direction joins two of its
 points, its threshold is the sample's median along it. Every vector is filed in one leaf of
 each tree. A query walks all trees through one priority queue that orders the branches by
 the squared distances to the planes that part the query from them, and takes leaves until
-they hold ``search`` candidates; these are reranked by their exact distances.
+the budget is spent; what they hold is reranked by exact distances.
+
+The budget counts filings, so a vector met in several trees counts in each. It isn't fixed:
+up to PROBED queries are answered by brute force over the whole table, the walk of each is
+followed until it has met all its true neighbours, and the budget is the least under which
+the share RECALL of all these neighbours is met, or ``search`` if that is more.
 
 Equal vectors are one class, filed once and held with its k + 1 least ids, which is all that
 an answer can name; so copies cost nothing in the leaves. The trees are fitted on a bounded
 sample (SAMPLE vectors, those with the least hash); every vector is indexed. What is
-broadcast, the trees and the leaves' sizes, is bounded by the sample. A leaf with more than
-BLOCK vectors is dealt to several groups.
+broadcast, the trees and the leaves' sizes, is bounded by the sample, so leaves grow with
+the table beyond it; the budget is measured on these very leaves. A leaf with more than BLOCK
+vectors is dealt to several groups.
 
 Defined results: rows with a null id, or whose vector is null, empty, zero, of another length
 than the table's longest, or holds nulls or values that aren't finite take no part; of rows
@@ -35,7 +41,11 @@ from loomline.llm.common import stored
 TREES = 24
 LEAF = 48
 SAMPLE = 16_384
+#: The least budget of a query.
 SEARCH = 20_000
+#: Share of the true neighbours that the budget must reach, and the queries it is measured on.
+RECALL = 0.98
+PROBED = 128
 BLOCK = 4096
 #: Leaves below one node that share a group, as a power of 2.
 GROUP_BITS = 4
@@ -60,13 +70,12 @@ class Forest:
             out[:, t] = node - ((1 << self.depth) - 1)
         return out
 
-    def near_leaves(self, q: np.ndarray, sizes: np.ndarray, search: int) -> list[tuple[int, int]]:
-        """(tree, leaf) in order of the shared queue until they hold `search` vectors."""
+    def walk(self, q: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(tree, leaf, size) of all leaves that hold vectors, in order of the shared queue."""
         first = (1 << self.depth) - 1
         queue = [(0.0, t, 0) for t in range(len(self.normals))]
-        found, held = [], 0
         margins = [(self.normals[t] @ q - self.thresholds[t]).tolist() if first else [] for t in range(len(self.normals))]
-        while queue and held < search:
+        while queue:
             far, t, node = heapq.heappop(queue)
             while node < first:
                 m = margins[t][node]
@@ -74,10 +83,34 @@ class Forest:
                 node = 2 * node + 1 + (m > 0)
             n = int(sizes[t, node - first])
             if n:
-                found.append((t, node - first))
-                held += n
+                yield t, node - first, n
+
+    def near_leaves(self, q: np.ndarray, sizes: np.ndarray, search: int) -> list[tuple[int, int]]:
+        """(tree, leaf) in order of the walk until they hold `search` filings."""
+        found, held = [], 0
+        for t, leaf, n in self.walk(q, sizes):
+            found.append((t, leaf))
+            held += n
+            if held >= search:
+                break
         return found
 
+    def needs(self, q: np.ndarray, sizes: np.ndarray, goals: np.ndarray) -> list[int]:
+        """For each goal vector, in ascending order, the least budget under which near_leaves meets it."""
+        homes: dict[tuple[int, int], list[int]] = {}
+        for i, leaves in enumerate(self.leaves(goals).tolist()):
+            for t, leaf in enumerate(leaves):
+                homes.setdefault((t, leaf), []).append(i)
+        left, out, held = set(range(len(goals))), [], 0
+        for t, leaf, n in self.walk(q, sizes):
+            met = left.intersection(homes.get((t, leaf), ()))
+            out += [held + 1] * len(met)
+            left -= met
+            if not left:
+                break
+            held += n
+        return out
+
 
 def grow(sample: np.ndarray, n: int, trees: int = TREES, leaf: int = LEAF) -> Forest:
     """Trees on a sample of n vectors, so deep that a leaf holds about `leaf` of the n, or
@@ -129,9 +162,54 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min("vec").alias("vec"))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", trees: int = TREES, leaf: int = LEAF, search: int = SEARCH, sample: int = SAMPLE) -> DataFrame:
+def nearest(classes: DataFrame, queries: np.ndarray, own: np.ndarray, k: int) -> DataFrame:
+    """no and vec of the k nearest other classes of each of the queries (vectors of the
+    classes own), by brute force over all classes."""
+    q, kind = queries.astype(np.float64), dict(classes.dtypes)["vec"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64), np.zeros((0, q.shape[1]), np.float32)) for _ in q]
+        for batch in _slices(batches, 4096):
+            cls, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            for i in range(len(q)):
+                d = np.square(x - q[i]).sum(axis=1)
+                d[cls == own[i]] = np.inf
+                some = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
+                some = some[np.isfinite(d[some])]
+                dist, ids, vec = (np.concatenate(two) for two in zip(held[i], (d[some], cls[some], x[some]), strict=True))
+                best = np.lexsort((ids, dist))[:k]
+                held[i] = dist[best], ids[best], vec[best]
+        dist, ids, vec = (np.concatenate(parts) for parts in zip(*held, strict=True))
+        no = np.repeat(np.arange(len(q)), [len(h[0]) for h in held])
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(vec) + 1, dtype=np.int32) * q.shape[1]), pa.array(vec.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(no), pa.array(dist), pa.array(ids), flat], ["no", "far", "cls", "vec"])
+
+    found = classes.select("cls", "vec").mapInArrow(run, f"no long, far double, cls long, vec {kind}")
+    first = Window.partitionBy("no").orderBy("far", "cls")
+    return found.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= k).select("no", "vec")
+
+
+def budget(classes: DataFrame, asked: DataFrame, forest: Forest, sizes: np.ndarray, k: int, recall: float, probed: int = PROBED) -> int:
+    """The least budget under which the share recall of the k nearest classes is met, over
+    up to `probed` of the queries (those with the least hash)."""
+    picked = asked.dropDuplicates(["cls"]).orderBy(F.xxhash64("cls", F.lit(1)), "cls").limit(probed).select("cls", "vec").collect()
+    if not picked:
+        return 0
+    queries = np.array([r.vec for r in picked], np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for no, goals in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(forest.needs(queries[no], sizes, np.array(goals, np.float32)), pa.int64())], ["need"])
+
+    near = nearest(classes, queries, np.array([r.cls for r in picked]), k).groupBy("no").agg(F.collect_list("vec").alias("goals"))
+    needs = sorted(r.need for r in near.mapInArrow(run, "need long").collect())
+    return needs[max(int(np.ceil(recall * len(needs))), 1) - 1] if needs else 0
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", trees: int = TREES, leaf: int = LEAF, search: int = SEARCH, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """query_id, rank (from 1), id and score (Euclidean distance) of the k nearest found of
-    every row for which is_query (over the column id) holds."""
+    every row for which is_query (over the column id) holds. search: the least budget."""
     rows = stored(usable(vectors, id_col, vector), "vectors")
     width = rows.agg(F.max(F.size("vec"))).first()[0] or 1
     rows = rows.filter(F.size("vec") == width)
@@ -157,6 +235,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
         sizes[r.leaf] = r.n
     sizes = sizes.reshape(trees, count)
     salts = -(-sizes // BLOCK)
+    asked = rows.filter(is_query).select("id", "vec").join(classes.select("cls", F.col("vec").alias("v")), F.col("vec") == F.col("v")).select(F.col("id").alias("query_id"), "cls", "vec")
+    asked = stored(asked, "queries")
+    most = max(search, budget(classes, asked, forest, sizes, k, recall))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, 1024):
@@ -172,21 +253,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
             )
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, 64):
-            x = _matrix(batch.column(1)).astype(np.float32)
-            rows_, trees_, leaves_, salts_ = [], [], [], []
-            for i in range(len(x)):
-                for t, leaf_ in forest.near_leaves(x[i], sizes, search):
-                    for s in range(int(salts[t, leaf_])):
-                        rows_.append(i)
-                        trees_.append(t)
-                        leaves_.append(leaf_)
-                        salts_.append(s)
-            take, leaf_ = pa.array(rows_, pa.int64()), np.array(leaves_, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(trees_, pa.int64()), pa.array(leaf_ >> GROUP_BITS), pa.array(salts_, pa.int64()), pa.array(leaf_), batch.column(0).take(take), batch.column(1).take(take)],
-                ["tree", "part", "salt", "leaf", "cls", "vec"],
-            )
+        for batch in _slices(batches, 1):
+            found = np.array(forest.near_leaves(_matrix(batch.column(1)).astype(np.float32)[0], sizes, most), np.int64).reshape(-1, 2)
+            times = salts[found[:, 0], found[:, 1]]
+            salt = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            tree, leaf_ = np.repeat(found, times, axis=0).T
+            for k0 in range(0, len(salt), 16_384):
+                part = slice(k0, k0 + 16_384)
+                take = pa.array(np.zeros(len(salt[part]), np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tree[part]), pa.array(leaf_[part] >> GROUP_BITS), pa.array(salt[part]), pa.array(leaf_[part]), batch.column(0).take(take), batch.column(1).take(take)],
+                    ["tree", "part", "salt", "leaf", "cls", "vec"],
+                )
 
     def rerank(filed: pa.Table, probes: pa.Table) -> pa.Table:
         query, near, dist = [], [], []
@@ -195,8 +273,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
             q, who, goal = _matrix(probes["vec"].combine_chunks()).astype(np.float64), probes["cls"].to_numpy(), probes["leaf"].to_numpy()
             order = np.argsort(home, kind="stable")
             lo, hi = np.searchsorted(home[order], goal, "left"), np.searchsorted(home[order], goal, "right")
-            for i in np.flatnonzero(hi > lo).tolist():
-                own = order[lo[i] : hi[i]]
+            rows_ = np.flatnonzero(hi > lo)
+            rows_ = rows_[np.argsort(who[rows_], kind="stable")]
+            for same in np.split(rows_, np.flatnonzero(np.diff(who[rows_])) + 1) if len(rows_) else []:
+                # a query's leaves in the group are looked at together
+                i, own = same[0], np.concatenate([order[lo[r] : hi[r]] for r in same])
                 d = np.sqrt(np.square(x[own] - q[i]).sum(axis=1))
                 best = np.lexsort((ids[own], d))[: k + 1]
                 query.append(np.full(len(best), who[i]))
@@ -207,8 +288,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
 
     schema = "tree long, part long, salt long, leaf long, cls long, vec " + dict(classes.dtypes)["vec"]
     filed = classes.select("cls", "vec").mapInArrow(file, schema)
-    asked = rows.filter(is_query).select("id", "vec").join(classes.select("cls", F.col("vec").alias("v")), F.col("vec") == F.col("v")).select(F.col("id").alias("query_id"), "cls", "vec")
-    asked = stored(asked, "queries")
     probes = asked.dropDuplicates(["cls"]).select("cls", "vec").mapInArrow(probe, schema)
     keys = ["tree", "part", "salt"]
     close = filed.groupBy(*keys).cogroup(probes.select(*[F.col(c).alias(f"p_{c}") for c in keys], "leaf", "cls", "vec").groupBy(*[f"p_{c}" for c in keys])).applyInArrow(rerank, "query long, near long, score double")

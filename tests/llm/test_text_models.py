@@ -198,6 +198,20 @@ def test_ann(spark):
     assert A.search(df.filter("vec_id < 3"), F.col("id") == 0).count() == 2
 
 
+def test_ann_budget_grows_until_recall_is_met(spark):
+    x = np.random.default_rng(6).normal(size=(3000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(set)
+    for r in A.search(df, F.col("id") % 50 == 0, trees=6, leaf=16, search=100, sample=256).collect():
+        got[r.query_id].add(r.id)
+    hit = 0
+    for q in range(0, 3000, 50):
+        d = np.square(x.astype(float) - x[q]).sum(axis=1)
+        d[q] = np.inf
+        hit += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hit >= 0.98 * 600
+
+
 def test_sharding(docs):
     names = H.shard_names(7)
     table = H.lookup_table(names, 211)
