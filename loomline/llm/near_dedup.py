@@ -262,24 +262,25 @@ def links(docs: DataFrame, drawn: DataFrame, text: str = "text", least: int = LE
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """id_col, th, n_shingles, component_id (the least id that the document reaches) and kept
-    (whether that is its own), a row per document."""
+    """id_col, th, n_shingles, component_id (the least id that the document reaches), kept
+    (whether that is its own) and root (the component's own class, whatever its ids; null:
+    empty set), a row per document."""
     drawn = stored(sketches(docs, id_col, text), "sketches")
     roots = links(docs, drawn, text, least)
     own = drawn.filter("cls is not null").groupBy("cls").agg(F.min(id_col).alias("low"))
     named = own.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    label = named.select("cls", "root").join(lowest, "root").select("cls", "component_id")
+    label = named.select("cls", "root").join(lowest, "root").select("cls", "root", "component_id")
     out = drawn.select(id_col, "th", "n_shingles", "cls").join(label, "cls", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", id_col))
-    return out.select(id_col, "th", "n_shingles", "component_id", F.equal_null(F.col(id_col), F.col("component_id")).alias("kept"))
+    return out.select(id_col, "th", "n_shingles", "component_id", F.equal_null(F.col(id_col), F.col("component_id")).alias("kept"), "root")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """docs with one row of each component (the least id; of repeated ids the least text
-    hash); rows without words all stay."""
+    """docs with one row of each component, whether or not others share its id (the least id;
+    of repeated ids the least text hash); rows without words all stay."""
     marked = near_duplicates(docs, id_col, text, least).filter("kept and n_shingles > 0")
-    chosen = marked.groupBy("component_id", id_col).agg(F.min("th").alias("th_")).select(F.col(id_col).alias("id_"), "th_")
+    chosen = marked.groupBy("root").agg(F.min(F.struct(F.col(id_col).alias("id_"), F.col("th").alias("th_"))).alias("least")).select("least.*")
     chosen = stored(chosen, "chosen")
     keyed = docs.withColumn("th__", F.xxhash64(text_of(text)))
     has = text_of(text).rlike("[^\\x20\\x09-\\x0D]")

@@ -75,6 +75,13 @@ def test_near_duplicates_of_odd_rows(docs):
     assert N.drop_near_duplicates(docs([(5, same), (5, same), (6, same)])).count() == 1
 
 
+def test_unrelated_documents_under_one_id_all_stay(docs, prose):
+    one, two, three, four = prose(40), prose(40), prose(40), prose(40)
+    pairs = [(None, one), (None, two), (None, two), (7, three), (7, four), (7, four), (9, three), (None, None), (None, "")]
+    kept = N.drop_near_duplicates(docs(pairs)).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("None", one), ("None", two), ("7", three), ("7", four), ("None", ""), ("None", "")])
+
+
 def test_set_sketch_never_has_more_bits_than_sets_differ():
     draw = np.random.default_rng(1)
     a = np.unique(draw.integers(0, 2**63, 400).astype(np.uint64))
