@@ -2,8 +2,8 @@
 secret redaction and packing. Each stage's result is written as Parquet and read again as
 the next one's documents; all but the last return the columns of documents.
 
-Defined results: rows that the rules reject go; of each group of near duplicates one row
-stays; repeated passages are cut out of all texts that hold them, and the texts stay, empty
+Defined results: rows that the rules reject go; of each group of near duplicates (a similarity of
+0.80 or more) one row stays; repeated passages are cut out of all texts that hold them, and the texts stay, empty
 if nothing else is left; secrets are replaced by a mark; n_chars follows the text. An empty
 table gives no pieces.
 """
@@ -20,6 +20,8 @@ from loomline.llm.queries import word_tokenizer
 #: No SQL: components, suffix sorting and tokenizing are beyond it; tests/llm holds run()
 #: against a brute-force version.
 ORACLE_SQL: str | None = None
+#: Percent of the union of two documents' shingles that near duplicates share.
+NEAR = 80
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.drop_near_duplicates(docs)
+    return near_dedup.drop_near_duplicates(docs, least=NEAR)
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

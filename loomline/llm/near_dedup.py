@@ -17,13 +17,14 @@ many alike documents costs in proportion to its rows.
 Defined results: null texts and texts without words have an empty set and link with nothing;
 words are lower-cased in A-Z only; repeated rows are one class; a null id never names a
 component that has other ids. With 32 bands of 4 samples a pair of similarity 0.85 shares no
-key with probability 6e-11; a similar pair has sketches apart by more than MOST_BITS with
-probability under 1e-9. Shingles are compared by 64-bit hashes.
+key with probability 6e-11, one of 0.80 with 5e-8; a similar pair has sketches apart by more
+than most_bits with probability under 1e-9. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,8 @@ SKETCH_WORDS = 8
 BITS = 64 * SKETCH_WORDS
 SET_WORDS = 16
 SET_BITS = 64 * SET_WORDS
-#: About 45 of 128 samples differing; at similarity 0.85 the mean is 19 and 4 the deviation.
-MOST_BITS = 84
+#: The chance that a pair of just the threshold's similarity has sketches further apart than most_bits.
+LOST = 1e-9
 #: Percent of the union that the intersection must have.
 LEAST = 85
 BLOCK = 256
@@ -149,6 +150,25 @@ def _apart(a: Column, b: Column, words: range) -> Column:
     return sum(bits[1:], bits[0])
 
 
+@lru_cache
+def most_bits(least: int = LEAST) -> int:
+    """Bits that the samples' sketches of a similar pair may differ in: of SAMPLES samples each
+    differs with probability 1 - similarity and then flips two bits."""
+    differs, k = 1 - least / 100, np.arange(BITS + 1)
+    at = np.zeros(BITS + 1)
+    at[0] = 1
+
+    def flipped(at: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(at)
+        out[1:] += at[:-1] * (1 - k[:-1] / BITS)
+        out[:-1] += at[1:] * k[1:] / BITS
+        return out
+
+    for _ in range(SAMPLES):
+        at = (1 - differs) * at + differs * flipped(flipped(at))
+    return int(np.flatnonzero(np.cumsum(at[::-1])[::-1] < LOST)[0]) - 1
+
+
 def most_set_bits(sizes: np.ndarray | Column, exp, least: int = LEAST):  # noqa: ANN001, ANN201
     """Bits that the set sketches of a similar pair may differ in, from the sum of its sizes:
     where few flips meet, their number bounds the bits; where many do, the bits' mean plus
@@ -163,7 +183,7 @@ def _close(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     of = lambda c: classes.select(F.col("cls").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n_shingles").alias(f"n{c}"))
     x, y = F.col("sa"), F.col("sb")
     bound, likely = most_set_bits((F.col("na") + F.col("nb")).cast("double"), F.exp, least)
-    near = (_apart(x, y, range(SKETCH_WORDS)) <= MOST_BITS) & (_apart(x, y, range(SKETCH_WORDS, SKETCH_WORDS + SET_WORDS)) <= F.least(bound, likely) + 1e-6)
+    near = (_apart(x, y, range(SKETCH_WORDS)) <= most_bits(least)) & (_apart(x, y, range(SKETCH_WORDS, SKETCH_WORDS + SET_WORDS)) <= F.least(bound, likely) + 1e-6)
     return pairs.join(of("a"), "a").join(of("b"), "b").filter(near).select("a", "b")
 
 
@@ -205,6 +225,8 @@ def _crossing(members: DataFrame, least: int) -> DataFrame:
     dealt = dealt.select("key", "cls", "root", "sketch", "n_shingles", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cls", "root", "sketch", "n_shingles")
 
+    close = most_bits(least)
+
     def run(table: pa.Table) -> pa.Table:
         n = table.num_rows
         lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
@@ -219,7 +241,7 @@ def _crossing(members: DataFrame, least: int) -> DataFrame:
             others = others[root[others] != root[i]]
             bits = np.bitwise_count(sketch[others] ^ sketch[i])
             most = np.minimum(*most_set_bits(sizes[others] + sizes[i], np.exp, least)) + 1e-6
-            found = others[(bits[:, :SKETCH_WORDS].sum(axis=1) <= MOST_BITS) & (bits[:, SKETCH_WORDS:].sum(axis=1) <= most)]
+            found = others[(bits[:, :SKETCH_WORDS].sum(axis=1) <= close) & (bits[:, SKETCH_WORDS:].sum(axis=1) <= most)]
             a.append(np.full(len(found), i))
             b.append(found)
         none = np.zeros(0, np.int64)

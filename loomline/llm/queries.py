@@ -68,7 +68,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_dedup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_dedup.near_duplicates(docs, least=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,10 @@ def test_unrelated_documents_under_one_id_all_stay(docs, prose):
     assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("None", one), ("None", two), ("7", three), ("7", four), ("None", ""), ("None", "")])
 
 
+def test_sketch_bound_follows_the_threshold():
+    assert N.most_bits(85) == 84 and N.most_bits(80) == 98
+
+
 def test_set_sketch_never_has_more_bits_than_sets_differ():
     draw = np.random.default_rng(1)
     a = np.unique(draw.integers(0, 2**63, 400).astype(np.uint64))

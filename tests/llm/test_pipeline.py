@@ -51,3 +51,15 @@ def test_stages_take_an_empty_table(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, "")
     assert now.count() == 0
+
+
+def test_near_dedup_stage_takes_a_similarity_of_080(spark, docs, prose):
+    words = [f"{w}{i}" for i, w in enumerate(prose(160).split())]
+    pairs = []
+    for d, n in enumerate((0, 3, 4)):  # shared with the first: 156 of 156, 141 of 171 (0.82), 136 of 176 (0.77)
+        w = list(words)
+        for k in range(n):
+            w[20 + 30 * k] = f"edit{d}x{k}"
+        pairs.append((d, " ".join(w)))
+    kept = corpus_pipeline.near_dedup_stage(spark, docs(pairs), "").collect()
+    assert sorted(r.doc_id for r in kept) == [0, 2]
