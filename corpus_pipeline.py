@@ -43,7 +43,7 @@ def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secret_scan.find_secrets(docs)
+    found = secret_scan.find_secrets(docs, rules=secret_scan.WHOLE_RULES)
     return _counted(found.withColumn("text", secret_scan.redact(F.col("text"), F.col("secret_spans")))).select(*docs.columns)
 
 

@@ -59,6 +59,19 @@ RULES: tuple[Rule, ...] = (
 )
 BASE_KINDS = 3
 
+# Key header; then all up to the END line if no other mark of five dashes comes first, else
+# the encryption headers, the base64 runs (line ends may be written as \\n), and a short last line.
+_GAP = "(?:\\s|\\\\[nr]|[\"',>#*])"
+_KEY = (
+    "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:"
+    "(?:(?!-----)[\\s\\S])*+-----END [A-Z ]*PRIVATE KEY-----|"
+    f"(?:\\s*(?:Proc-Type|DEK-Info):[^\\n]*)*(?:{_GAP}*+[A-Za-z0-9+/=]{{16,}})*+"
+    "(?:(?<=[A-Za-z0-9+/=])(?:\\r?\\n|\\\\n)[A-Za-z0-9+/=]+(?=\\s*(?:\\n|$)|\\\\n|[\"']))?)"
+)
+#: RULES with the whole private key, for redaction: RULES' own are those of op1's SQL, which
+#: holds RE2 patterns without lookaround and lists the header only.
+WHOLE_RULES = tuple(Rule(r.kind, 2, _KEY, r.needs) if r.kind == "private_key" else r for r in RULES)
+
 
 def _spans(text: Column, rule: Column) -> Column:
     """Places of the rule's matches: each starts after the gaps and matches before it."""

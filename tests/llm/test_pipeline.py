@@ -63,3 +63,24 @@ def test_near_dedup_stage_takes_a_similarity_of_080(spark, docs, prose):
         pairs.append((d, " ".join(w)))
     kept = corpus_pipeline.near_dedup_stage(spark, docs(pairs), "").collect()
     assert sorted(r.doc_id for r in kept) == [0, 2]
+
+
+def test_secrets_stage_redacts_whole_private_keys(spark, docs):
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = ["MIIEow" + "Ab+/" * 14 + f"{k:02}" for k in range(400)]
+    body = "\n".join(lines)
+    cut = "\\n".join(lines[:5])
+    enc = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C\n\n"
+    cases = {
+        f"a {head}\n{body}\nQw==\n{end} b": "a [SECRET] b",
+        f"a {head}\n{body}\nQw==\nplain words follow": "a [SECRET]\nplain words follow",
+        f"a {head}\r\n{enc}{body}\n{end}\nb": "a [SECRET]\nb",
+        f"a {head}\n{enc}{body}\nno end here": "a [SECRET]\nno end here",
+        f'k = "{head}\\n{cut}\\n{end}"': 'k = "[SECRET]"',
+        f'k = "{head}\\n{cut}" rest of it': 'k = "[SECRET]" rest of it',
+        f"{head} is a header and {head}\n{body}\n{end} x": "[SECRET] is a header and [SECRET] x",
+        f"{head}\n{lines[0]}\n-----BEGIN CERTIFICATE-----\n{lines[1]}": f"[SECRET]\n-----BEGIN CERTIFICATE-----\n{lines[1]}",
+    }
+    plain = docs(list(enumerate(cases))).drop("blob", "th", "kept")
+    got = {r.doc_id: r.text for r in corpus_pipeline.secrets_stage(spark, plain, "").collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
