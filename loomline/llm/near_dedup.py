@@ -46,6 +46,8 @@ SET_BITS = 64 * SET_WORDS
 LOST = 1e-9
 #: Percent of the union that the intersection must have.
 LEAST = 85
+#: The least threshold that the bands are chosen for.
+LOWEST = 80
 BLOCK = 256
 
 _FLIP = textscan.draws(SAMPLES, 11).astype(np.uint32)
@@ -286,7 +288,9 @@ def links(docs: DataFrame, drawn: DataFrame, text: str = "text", least: int = LE
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """id_col, th, n_shingles, component_id (the least id that the document reaches), kept
     (whether that is its own) and root (the component's own class, whatever its ids; null:
-    empty set), a row per document."""
+    empty set), a row per document. A threshold for which the bands would lose links is refused."""
+    if not LOWEST <= least <= 100:
+        raise ValueError(f"least must be from {LOWEST} to 100: the bands lose links below that")
     drawn = stored(sketches(docs, id_col, text), "sketches")
     roots = links(docs, drawn, text, least)
     own = drawn.filter("cls is not null").groupBy("cls").agg(F.min(id_col).alias("low"))

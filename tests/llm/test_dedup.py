@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from loomline.llm import near_dedup as N
 from loomline.llm import suffix_dedup as X
@@ -86,6 +87,12 @@ def test_sketch_bound_follows_the_threshold():
     assert N.most_bits(85) == 84 and N.most_bits(80) == 98
 
 
+def test_thresholds_that_the_bands_cannot_serve_are_refused(docs):
+    for least in (50, 79, 101):
+        with pytest.raises(ValueError, match="least"):
+            N.near_duplicates(docs([(1, "a")]), least=least)
+
+
 def test_set_sketch_never_has_more_bits_than_sets_differ():
     draw = np.random.default_rng(1)
     a = np.unique(draw.integers(0, 2**63, 400).astype(np.uint64))
