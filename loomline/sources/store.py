@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -40,10 +44,19 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares, or in a temporary one where the
-    session names none."""
-    import tempfile
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomline-")
+    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir). Where the
+    session names none, a temporary folder is set if all runs on this machine, else this fails."""
+    conf = spark.sparkContext.getConf()
+    root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("loomline.scratch", None)
+    if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = "file://" + tempfile.mkdtemp(prefix="loomline-")
+        spark.conf.set("loomline.scratch", root)
     return f"{root.rstrip('/')}/loomline/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete the folder, if it is there."""
+    made, files = _path(spark, path)
+    files.delete(made, True)
