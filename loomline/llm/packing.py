@@ -49,7 +49,7 @@ def byte_alphabet() -> dict[int, str]:
 
 class WordEncoder:
     """Ids of words by a tokenizer whose pieces never span spaces; each word is encoded once
-    and remembered by its hash. Plain words go through bpe.WordMerges, if the tokenizer has
+    and remembered by two hashes. Plain words go through bpe.WordMerges, if the tokenizer has
     the set-up that it reproduces; all others through the tokenizer itself."""
 
     def __init__(self, path: str):
@@ -73,8 +73,7 @@ class WordEncoder:
         return bpe.WordMerges(model["vocab"], model["merges"], byte_alphabet(), model["end_of_word_suffix"])
 
     def forget(self) -> None:
-        self.known, self.at, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
-        self.order = np.zeros(0, np.int64)
+        self.memo = textscan.Memo(REMEMBER, np.uint32)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -107,24 +106,7 @@ class WordEncoder:
 
     def encode(self, words: textscan.Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the block's words one after the other, and how many each word has."""
-        if len(self.known) > REMEMBER:
-            self.forget()
-        unique, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.known, unique), max(len(self.known) - 1, 0))
-        new = self.known[place] != unique if len(self.known) else np.ones(len(unique), bool)
-        if new.any():
-            picked = first[new]
-            fresh, counts = self._encode_new(words.data, words.starts[picked], words.ends[picked])
-            self.ids = np.concatenate([self.ids, fresh])
-            numbers = np.arange(len(self.known), len(self.known) + len(counts))
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(counts)])
-            merged = np.concatenate([self.known, unique[new]])
-            order = np.argsort(merged, kind="stable")
-            self.known, self.order = merged[order], np.concatenate([self.order, numbers])[order]
-            place = np.searchsorted(self.known, unique)
-        number = self.order[place][inverse]
-        lengths = self.at[number + 1] - self.at[number]
-        return self.ids[textscan.ranges(self.at[number], lengths)], lengths
+        return self.memo.get(words.hashes(), words.hashes(family=1), lambda picked: self._encode_new(words.data, words.starts[picked], words.ends[picked]))
 
 
 def encode_texts(column: pa.Array, path: str, end: int = END) -> tuple[np.ndarray, np.ndarray]:

@@ -157,7 +157,7 @@ class Merges:
 
 
 class Codec:
-    """Encoder of one model; remembers the ids of words by their hash."""
+    """Encoder of one model; remembers the ids of words by two hashes."""
 
     def __init__(self, path: str):
         self.v = v = load(path)
@@ -175,8 +175,7 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.at, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.memo = textscan.Memo(REMEMBER, np.int32)
 
     @lru_cache(maxsize=4096)  # noqa: B019
     def marks(self, n: int) -> tuple[int, ...]:
@@ -304,24 +303,8 @@ class Codec:
         return np.concatenate(parts) if parts else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(sizes)])
 
     def _units(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > REMEMBER:
-            self.forget()
-        hashes = textscan.span_hash(textscan.rolling(data), starts, ends)
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.known, unique), max(len(self.known) - 1, 0))
-        new = self.known[place] != unique if len(self.known) else np.ones(len(unique), bool)
-        if new.any():
-            picked = first[new]
-            ids, counts = self._new(textscan.split_at(data, starts[picked], ends[picked]))
-            numbers = np.arange(len(self.known), len(self.known) + len(counts))
-            self.ids, self.at = np.concatenate([self.ids, ids]), np.concatenate([self.at, self.at[-1] + np.cumsum(counts)])
-            merged = np.concatenate([self.known, unique[new]])
-            order = np.argsort(merged, kind="stable")
-            self.known, self.order = merged[order], np.concatenate([self.order, numbers])[order]
-            place = np.searchsorted(self.known, unique)
-        number = self.order[place][inverse]
-        counts = self.at[number + 1] - self.at[number]
-        return self.ids[textscan.ranges(self.at[number], counts)], counts
+        one, two = (textscan.run_hash(data, starts, ends, family=k) for k in range(2))
+        return self.memo.get(one, two, lambda picked: self._new(textscan.split_at(data, starts[picked], ends[picked])))
 
 
 class Decoder:

@@ -31,9 +31,19 @@ def draws(n: int, seed: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 32)) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _folded(table: np.ndarray) -> np.ndarray:
+    """The table with A-Z as a-z."""
+    out = table.copy()
+    out[65:91] = table[97:123]
+    return out
+
+
 _BYTE = draws(256, 1)
-_FOLDED = _BYTE.copy()
-_FOLDED[65:91] = _BYTE[97:123]
+#: Two families of word hashes: for each a value per byte (plain and folded), an odd one per
+#: place, and one per stretch of PLACES places.
+PLACES = 4096
+_TABLES = [((t := draws(256, 21 + k)), _folded(t)) for k in range(2)]
+_PLACES = [draws(PLACES, 23 + k) | np.uint64(1) for k in range(2)]
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -47,20 +57,87 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def rolling(data: np.ndarray, folded: bool = False) -> np.ndarray:
+def rolling(data: np.ndarray) -> np.ndarray:
     """Prefix sums from which span_hash gets the hash of any span of data."""
     power, _ = _powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_FOLDED if folded else _BYTE)[data] * power[: len(data)], out=sums[1:])
+    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
     return sums
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans: equal for equal bytes wherever they stand."""
+    """64-bit hashes of the spans: equal for equal bytes wherever they stand. A polynomial
+    modulo 2^64, which structured bytes can make collide: good to choose and to rule out,
+    not to tell that spans are equal."""
     _, inverse = _powers(len(sums))
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def run_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = False, family: int = 0) -> np.ndarray:
+    """64-bit hashes of spans of at least a byte that don't overlap: a random value for each
+    byte times a random one for its place in the span, summed. The two families are independent."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lengths = ends - starts
+    at = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
+    values = _TABLES[family][folded][data[ranges(starts, lengths)]]
+    if (longest := int(lengths.max())) > PLACES:
+        values = values * (draws(longest // PLACES + 1, 25 + family) | np.uint64(1))[place // PLACES]
+        place %= PLACES
+    values = values * _PLACES[family][place]
+    return mix(np.add.reduceat(values, at) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """First of each different pair of hashes, the number of each pair's, and whether the
+    first hash alone tells them apart."""
+    _, first, inverse = np.unique(one, return_index=True, return_inverse=True)
+    if (two == two[first][inverse]).all():
+        return first, inverse, True
+    _, first, inverse = np.unique(np.stack([one, two], 1), axis=0, return_index=True, return_inverse=True)
+    return first, inverse.ravel(), False
+
+
+class Memo:
+    """Lists of ids by the two hashes of what they encode."""
+
+    def __init__(self, most: int, kind: type):
+        self.most, self.kind = most, kind
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.check, self.at, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, self.kind)
+
+    def get(self, one: np.ndarray, two: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+        """Ids of all units one after the other, and how many each has; make(places) gives
+        those of units that aren't known. Units that share their first hash with others are
+        made without being remembered."""
+        first, inverse, alone = distinct(one, two)
+        if len(self.known) > self.most:
+            self.forget()
+        keys, checks = one[first], two[first]
+        place = np.minimum(np.searchsorted(self.known, keys), max(len(self.known) - 1, 0))
+        held = self.known[place] == keys if len(self.known) else np.zeros(len(keys), bool)
+        if not alone or (self.check[self.order[place[held]]] != checks[held]).any():
+            ids, counts = make(first)
+            offsets = np.cumsum(counts) - counts
+            return ids[ranges(offsets[inverse], counts[inverse])], counts[inverse]
+        if not held.all():
+            ids, counts = make(first[~held])
+            numbers = np.arange(len(self.known), len(self.known) + len(counts))
+            self.ids, self.at = np.concatenate([self.ids, ids]), np.concatenate([self.at, self.at[-1] + np.cumsum(counts)])
+            self.check = np.concatenate([self.check, checks[~held]])
+            merged = np.concatenate([self.known, keys[~held]])
+            order = np.argsort(merged, kind="stable")
+            self.known, self.order = merged[order], np.concatenate([self.order, numbers])[order]
+            place = np.searchsorted(self.known, keys)
+        number = self.order[place][inverse]
+        counts = self.at[number + 1] - self.at[number]
+        return self.ids[ranges(self.at[number], counts)], counts
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and the offsets of its texts in them; null is empty."""
     column = column.cast(pa.large_binary()) if not pa.types.is_large_string(column.type) else column
@@ -79,8 +156,8 @@ class Words:
     ends: np.ndarray
     rows: np.ndarray
 
-    def hashes(self, folded: bool = False) -> np.ndarray:
-        return span_hash(rolling(self.data, folded), self.starts, self.ends)
+    def hashes(self, folded: bool = False, family: int = 0) -> np.ndarray:
+        return run_hash(self.data, self.starts, self.ends, folded, family)
 
 
 def _cuts(data: np.ndarray, at: np.ndarray, block: int) -> Iterator[tuple[int, int]]:
