@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.sources import store
+
 #: The characters that separate words, and the pattern of a run of them.
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
@@ -22,6 +21,16 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def text_key(text: str | Column) -> Column:
+    """16 bytes that stand for the text (of its SHA-256); null is the empty text."""
+    return F.unhex(F.substring(F.sha2(text_of(text), 256), 1, 32))
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs meets one that an operator adds."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
 def words_of(text: Column) -> Column:
     """Array of the words: maximal runs of characters other than SPACES."""
     return F.array_remove(F.split(text, SPACE_RUN), "")
@@ -35,14 +44,10 @@ def crc_fold(id_col: str, folds: int = 5) -> Column:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster shares (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests, a temporary folder is set.
+    Only where the session names none and runs on one machine, as in tests, a temporary
+    folder is set; on a cluster that would be another one on each machine.
     """
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("loomline.scratch", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="loomline-")
-        spark.conf.set("loomline.scratch", root)
-    return f"{root.rstrip('/')}/loomline/{name}-{uuid.uuid4().hex}"
+    return store.scratch(spark, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

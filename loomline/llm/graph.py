@@ -33,7 +33,8 @@ def roots_of(links: Iterator[tuple]) -> dict:
 
 def _contract(links: DataFrame) -> DataFrame:
     """u and v: for each part of the links, dealt by u, each node and the least of its part's
-    component. Nodes are connected as before; links to a hub are spread over all parts."""
+    component. Nodes are connected as before; links to a hub are spread over all parts. The
+    same is done where the links lie before they are dealt, so a hub sends a row a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = ((a, b) for batch in batches for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
@@ -42,7 +43,8 @@ def _contract(links: DataFrame) -> DataFrame:
 
     name = dict(links.dtypes)["u"]
     kind = {"binary": pa.binary(), "string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[name]
-    return links.repartition("u").mapInArrow(run, f"u {name}, v {name}")
+    schema = f"u {name}, v {name}"
+    return links.select("u", "v").mapInArrow(run, schema).repartition("u").mapInArrow(run, schema)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm import textscan
-from loomline.llm.common import stored, text_of
+from loomline.llm.common import stored, text_key, text_of, whole_row
 from loomline.llm.graph import components
 
 SHINGLE = 5
@@ -49,6 +49,10 @@ LEAST = 85
 #: The least threshold that the bands are chosen for.
 LOWEST = 80
 BLOCK = 256
+#: What a text with words holds.
+WORD = "[^\\x20\\x09-\\x0D]"
+#: Texts of fewer words are known by both families of word hashes.
+FEW = 64
 
 _FLIP = textscan.draws(SAMPLES, 11).astype(np.uint32)
 _TIMES = textscan.draws(SAMPLES, 12).astype(np.uint32) | np.uint32(1)
@@ -59,21 +63,21 @@ _BAND_NO = textscan.draws(BANDS, 16)
 
 
 def text_words(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Number and folded word hashes of each text that has words."""
+    """Number and folded word hashes (a row for each family) of each text that has words."""
     row, held = -1, []
     for words in textscan.word_blocks(data, at):
         if not len(words.starts):
             continue
-        hashes = words.hashes(folded=True)
+        hashes = np.stack([words.hashes(folded=True, family=k) for k in range(2)])
         edges = np.flatnonzero(np.diff(words.rows)) + 1
-        for number, part in zip(words.rows[np.concatenate([[0], edges])].tolist(), np.split(hashes, edges), strict=True):
+        for number, part in zip(words.rows[np.concatenate([[0], edges])].tolist(), np.split(hashes, edges, axis=1), strict=True):
             if number != row and held:
-                yield row, np.concatenate(held) if len(held) > 1 else held[0]
+                yield row, np.concatenate(held, axis=1) if len(held) > 1 else held[0]
                 held = []
             row = number
             held.append(part)
     if held:
-        yield row, np.concatenate(held) if len(held) > 1 else held[0]
+        yield row, np.concatenate(held, axis=1) if len(held) > 1 else held[0]
 
 
 def shingle_set(words: np.ndarray) -> np.ndarray:
@@ -101,10 +105,10 @@ def sketch_rows(texts: pa.Array) -> dict[str, np.ndarray]:
     data, at = textscan.buffers(texts)
     numbers, sizes, classes, samples, parity = [], [], [], [], []
     for number, words in text_words(data, at):
-        own = shingle_set(words)
+        own = shingle_set(words[0])
         numbers.append(number)
         sizes.append(len(own))
-        classes.append(class_of(own))
+        classes.append(class_of(own, words))
         samples.append(minhash(own))
         parity.append(np.bincount((own & np.uint64(SET_BITS - 1)).astype(np.int64), minlength=SET_BITS).astype(np.uint8) & 1)
     drawn = np.array(samples, np.uint64).reshape(-1, SAMPLES)
@@ -116,11 +120,15 @@ def sketch_rows(texts: pa.Array) -> dict[str, np.ndarray]:
     return {"number": np.array(numbers, np.int64), "n_shingles": np.array(sizes, np.int64), "cls": classes, "keys": textscan.mix(keys).view(np.int64), "sketch": sketch}
 
 
-def class_of(shingles: np.ndarray) -> bytes:
-    """128 bits that stand for the set."""
+def class_of(shingles: np.ndarray, words: np.ndarray) -> bytes:
+    """128 bits that stand for the set, in which few shingles may be all that differ: then
+    half of them come from the second family of word hashes."""
     one = textscan.mix(shingles + np.uint64(len(shingles))).sum()
-    two = textscan.mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()
-    return one.tobytes() + two.tobytes()
+    if words.shape[1] < FEW:
+        two = shingle_set(words[1]).sum()
+    else:
+        two = textscan.mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()
+    return one.tobytes() + textscan.mix(two[None]).tobytes()
 
 
 def _lists(values: np.ndarray) -> pa.Array:
@@ -129,7 +137,7 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id_col, th (64-bit hash of the text), n_shingles, cls (null: empty set), keys, sketch."""
+    """id_col, th (the text's key), n_shingles, cls (null: empty set), keys, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textscan.sliced(batches):
@@ -142,8 +150,8 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays(columns, [id_col, "th", "n_shingles", "cls", "keys", "sketch"])
 
     kind = dict(docs.dtypes)[id_col]
-    schema = f"`{id_col}` {kind}, th long, n_shingles long, cls binary, keys array<long>, sketch array<long>"
-    return docs.select(id_col, F.xxhash64(text_of(text)).alias("th"), text).mapInArrow(run, schema)
+    schema = f"`{id_col}` {kind}, th binary, n_shingles long, cls binary, keys array<long>, sketch array<long>"
+    return docs.select(id_col, text_key(text).alias("th"), text).mapInArrow(run, schema)
 
 
 def _apart(a: Column, b: Column, words: range) -> Column:
@@ -195,8 +203,8 @@ def class_sets(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textscan.sliced(batches):
             data, at = textscan.buffers(batch.column(0))
-            sets = [shingle_set(words) for _, words in text_words(data, at)]
-            yield pa.RecordBatch.from_arrays([pa.array(map(class_of, sets), pa.binary()), pa.array((s.tobytes() for s in sets), pa.binary())], ["cls", "shingles"])
+            sets = [(shingle_set(words[0]), words) for _, words in text_words(data, at)]
+            yield pa.RecordBatch.from_arrays([pa.array((class_of(s, w) for s, w in sets), pa.binary()), pa.array((s.tobytes() for s, _ in sets), pa.binary())], ["cls", "shingles"])
 
     return texts.select("text").mapInArrow(run, "cls binary, shingles binary")
 
@@ -227,17 +235,11 @@ def _crossing(members: DataFrame, least: int) -> DataFrame:
     dealt = dealt.select("key", "cls", "root", "sketch", "n_shingles", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cls", "root", "sketch", "n_shingles")
 
-    close = most_bits(least)
+    close, width = most_bits(least), SKETCH_WORDS + SET_WORDS
 
-    def run(table: pa.Table) -> pa.Table:
-        n = table.num_rows
-        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
-        block = table["block"].to_numpy()
-        sketch = table["sketch"].combine_chunks().flatten().to_numpy().reshape(n, SKETCH_WORDS + SET_WORDS).view(np.uint64)
-        sizes = table["n_shingles"].to_numpy().astype(float)
-        cls, root = table["cls"].combine_chunks(), table["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+    def pairs_of(block: np.ndarray, lo: int, hi: int, sketch: np.ndarray, sizes: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         one, two = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        a, b = [], []
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in one.tolist():
             others = two if lo != hi else two[two > i]
             others = others[root[others] != root[i]]
@@ -246,11 +248,41 @@ def _crossing(members: DataFrame, least: int) -> DataFrame:
             found = others[(bits[:, :SKETCH_WORDS].sum(axis=1) <= close) & (bits[:, SKETCH_WORDS:].sum(axis=1) <= most)]
             a.append(np.full(len(found), i))
             b.append(found)
-        none = np.zeros(0, np.int64)
-        a, b = (np.concatenate(x) if x else none for x in (a, b))
-        return pa.table({"a": cls.take(pa.array(a)), "b": cls.take(pa.array(b))})
+        return np.concatenate(a), np.concatenate(b)
+
+    def groups(table: pa.Table) -> pa.RecordBatch:
+        """The pairs of whole groups, which stand one after the other."""
+        key, lo, hi, block, sizes = (table[c].to_numpy() for c in ("key", "lo", "hi", "block", "n_shingles"))
+        sketch = table["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, width).view(np.uint64)
+        root = table["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1, [len(key)]]).tolist()
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            if j - i > 1:
+                x, y = pairs_of(block[i:j], lo[i], hi[i], sketch[i:j], sizes[i:j].astype(float), root[i:j])
+                a.append(x + i)
+                b.append(y + i)
+        cls = table["cls"].combine_chunks()
+        return pa.RecordBatch.from_arrays([cls.take(pa.array(np.concatenate(x))) for x in (a, b)], ["a", "b"])
 
-    pairs = dealt.groupBy("key", "lo", "hi").applyInArrow(run, "a binary, b binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of group; the last group of a batch waits for the next."""
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            if not table.num_rows:
+                continue
+            last = [table[c].to_numpy() for c in ("key", "lo", "hi")]
+            start = int(np.flatnonzero(np.logical_or.reduce([x != x[-1] for x in last]))[-1]) + 1 if any((x != x[-1]).any() for x in last) else 0
+            if start:
+                yield groups(table.slice(0, start))
+            held = table.slice(start)
+        if held is not None and held.num_rows:
+            yield groups(held)
+
+    ordered = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    pairs = ordered.mapInArrow(run, "a binary, b binary")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -266,7 +298,7 @@ def links(docs: DataFrame, drawn: DataFrame, text: str = "text", least: int = LE
     star = members.join(hubs, "key").filter("cls <> a").select("a", F.col("cls").alias("b")).distinct()
     pairs = stored(_close(star, classes, least), "pairs")
 
-    texts = docs.select(F.xxhash64(text_of(text)).alias("th"), text_of(text).alias("text")).groupBy("th").agg(F.first("text").alias("text"))
+    texts = docs.select(text_key(text).alias("th"), text_of(text).alias("text")).groupBy("th").agg(F.first("text").alias("text"))
     wanted = members.select("cls").distinct().join(classes.select("cls", "th"), "cls").select("th").distinct()
     sets = stored(class_sets(texts.join(wanted, "th", "left_semi")).dropDuplicates(["cls"]), "sets")
 
@@ -304,12 +336,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """docs with one row of each component, whether or not others share its id (the least id;
-    of repeated ids the least text hash); rows without words all stay."""
+    of repeated ids the least text key); rows without words all stay."""
     marked = near_duplicates(docs, id_col, text, least).filter("kept and n_shingles > 0")
     chosen = marked.groupBy("root").agg(F.min(F.struct(F.col(id_col).alias("id_"), F.col("th").alias("th_"))).alias("least")).select("least.*")
-    chosen = stored(chosen, "chosen")
-    keyed = docs.withColumn("th__", F.xxhash64(text_of(text)))
-    has = text_of(text).rlike("[^\\x20\\x09-\\x0D]")
-    match = F.equal_null(F.col(id_col), F.col("id_")) & (F.col("th__") == F.col("th_"))
-    one = keyed.filter(has).join(chosen, match, "left_semi").dropDuplicates([id_col, "th__"])
-    return one.drop("th__").unionByName(docs.filter(~has))
+    chosen = stored(chosen.withColumnRenamed("id_", "low").withColumnRenamed("th_", "key"), "chosen")
+    rows = docs.select(whole_row(docs).alias("row"), F.col(id_col).alias("id"), text_key(text).alias("th"), text_of(text).rlike(WORD).alias("has"))
+    match = F.equal_null("id", "low") & (F.col("th") == F.col("key"))
+    one = rows.filter("has").join(chosen, match, "left_semi").dropDuplicates(["id", "th"])
+    return one.select("row.*").union(rows.filter("not has").select("row.*"))
