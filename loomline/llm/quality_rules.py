@@ -7,7 +7,8 @@ reads the ledger and never the texts again.
 Defined results: a null text counts as empty; an empty text has no words and fails
 ``few_words``; repeated rows are measured each on its own; the input's other columns are
 ignored unless asked for by ``keep``. Two 8-word windows count as equal when the 64-bit hashes
-of their word hashes are.
+of their word hashes are. Texts of any length are measured whole, in one row's memory; an
+empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -62,8 +63,10 @@ def _absent(text: Column, pattern: str) -> Column:
 
 
 def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, the MEASURES and fail_bits of every row of docs; one scan, no shuffle."""
-    base = docs.select(*keep, text_of(text).alias("t_"))
+    """keep, the MEASURES and fail_bits of every row of docs; one scan, no shuffle. Columns of
+    keep that are named like one of those give way to it."""
+    asked, keep = keep, ("keep_",)
+    base = docs.select(F.struct(*[F.col(c) for c in asked]).alias("keep_"), text_of(text).alias("t_"))
     base = base.select(*keep, "t_", words_of(F.col("t_")).alias("w_"))
     lines = F.filter(F.split("t_", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     base = base.select(
@@ -111,7 +114,9 @@ def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     bits = F.lit(0).cast("long")
     for name, condition in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(BITS[name])).otherwise(F.lit(0)).cast("long"))
-    return base.select(*keep, *MEASURES, bits.alias("fail_bits"))
+    made = {"fail_bits", *MEASURES}
+    own = [F.col("keep_")[c].alias(c) for c in asked if c.lower() not in made]
+    return base.select(*own, *MEASURES, bits.alias("fail_bits"))
 
 
 def rejected(policy: Policy) -> Column:

@@ -78,7 +78,8 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", names: tuple[str, ...] =
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", names: tuple[str, ...] = shard_names(), size: int = SIZE, files: int = 1) -> None:
     """A folder per shard with `files` files each; rows of one key are dealt over the files
-    of their shard too, so a key with many rows doesn't land in one task."""
-    out = assign_shards(docs, key, names, size)
+    of their shard too, so a key with many rows doesn't land in one task. The folders are
+    named shard=n, or _shard=n where docs has a column shard of its own."""
+    out, shard = assign_shards(docs, key, names, size), free_name(docs, "shard")
     salt = F.pmod(F.xxhash64(*docs.columns), F.lit(files)) if files > 1 else F.lit(0)
-    out.repartition(len(names) * files, "shard", salt).write.partitionBy("shard").parquet(path)
+    out.repartition(len(names) * files, shard, salt).write.partitionBy(shard).parquet(path)
