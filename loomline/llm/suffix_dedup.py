@@ -4,28 +4,35 @@ A byte goes if it lies in a string of SPAN bytes that also starts anywhere else.
 every suffix of a large corpus moves it many times over, so suffixes are taken where content
 asks for them: every window of SPAN bytes names the anchor in it, the GRAM-byte string of
 least hash, and equal windows name equal anchors at equal places. The windows of one anchor
-reach over at most 2 * SPAN - GRAM bytes.
-
-1. Anchors are dealt by hash; those that occur once are done with. Occurrences whose whole
-   reach is equal (two 64-bit hashes) are repeated as a whole.
-2. The others become suffixes that start at the anchor, each with the bytes before it. A task
-   sorts its own, drops the prefix that each shares with the one before (front coding), and
-   sends these runs on, by anchor.
-3. A loser tree merges the runs. It holds for each run the prefix shared with the last string
-   sent out, compares those lengths first and letters only beyond them. The merged order with
-   its shared lengths shows which suffixes agree for how long; for each number of bytes before
-   the anchor, occurrences that agree in them and far enough behind it hold equal windows.
+reach over at most 2 * SPAN - GRAM bytes. Hashes only rule anchors out: one whose hash occurs
+once holds no repeated window. What repeats is told by the bytes, in sorted order.
+
+1. A task sends each hash it meets once, with a note if it met it more often; the others,
+   whose hash is known to repeat, need no decision and are dealt evenly. So a passage that
+   many texts share costs a row a task. Equal texts are known by 128 bits and lend their
+   anchors once.
+2. Every repeated anchor becomes a suffix that starts there, with the bytes before it. A task
+   cuts its suffixes by range at splitters (from a bounded sample of the anchors), sorts each
+   part, settles suffixes that are equal with all before them and keeps one of those, drops
+   the prefix that each shares with the one before (front coding), and sends these runs on.
+3. A loser tree merges the runs of a range. It holds for each run the prefix shared with the
+   last string sent out, compares those lengths first and letters only beyond them. The merged
+   order with its shared lengths shows which suffixes agree for how long; for each number of
+   bytes before the anchor, occurrences that agree in them and far enough behind it hold equal
+   windows. A range is as large however large the input; it is worked through anchor by anchor.
 4. The repeated windows of an anchor are joined from the first to the last (they all hold the
    anchor, so nothing between is spared), and the spans of a text are merged and cut.
 
 Defined results: null texts are empty; texts under SPAN bytes keep everything; equal texts,
-of repeated rows too, are cut alike (they are known by a 64-bit hash), and go whole if at
-least SPAN long; cuts may part a character, ``cut_text`` then drops its other bytes.
+of repeated rows too, go whole if at least SPAN long; very long texts are anchored in
+segments; an empty table gives no rows; other columns stay; cuts may part a character,
+``cut_text`` then drops its other bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +42,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm import textscan
-from loomline.llm.common import free_name, stored, text_of
+from loomline.llm.common import stored, text_key, text_of, whole_row
 
 SPAN = 200
 GRAM = 100
 SEGMENT = 1 << 19
-FULL, OPEN, BOTH = 0, 1, 2
+#: Bytes of suffixes that a task sorts at a time, and that a range is to hold.
+SORTED = 16 << 20
+RANGE = 32 << 20
+#: Most anchors that splitters are taken from; each stands for one in 1 << SAMPLED of all hashes.
+SAMPLE = 1 << 16
+SAMPLED = 6
+#: Suffixes that are looked at together at least, unless a range has fewer.
+TOGETHER = 1 << 16
+#: Hashes and texts that a task remembers to have sent.
+TOLD = 1 << 20
+ONCE, TWICE, SURE = 0, 1, 2
 
 
 def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -56,11 +73,11 @@ def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(part: np.ndarray, edges: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Of the texts part[edges[i]:edges[i + 1]]: text number, first and last window start, and
-    place of each anchor, its hash, and the hash of its whole reach."""
+    place of each anchor, and its hash."""
     width = span - gram + 1
     none = np.zeros(0, np.int64)
     if len(part) < span:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64)
     sums = textscan.rolling(part)
     at = np.arange(len(part) - gram + 1)
     hashes = textscan.span_hash(sums, at, at + gram)
@@ -74,8 +91,7 @@ def anchors(part: np.ndarray, edges: np.ndarray, span: int = SPAN, gram: int = G
     last[:-1] &= ~same
     first, last = np.flatnonzero(first), np.flatnonzero(last)
     place = place[first]
-    reach = textscan.mix(textscan.span_hash(sums, first, last + span) + (place - first).astype(np.uint64))
-    return text[first], first, last, place, hashes[place], reach
+    return text[first], first, last, place, hashes[place]
 
 
 def _segments(at: np.ndarray, span: int) -> Iterator[tuple[int, int, int, int]]:
@@ -98,81 +114,95 @@ def _segments(at: np.ndarray, span: int) -> Iterator[tuple[int, int, int, int]]:
 
 
 def text_anchors(docs: DataFrame) -> DataFrame:
-    """docs: th, text. h, sh (hashes of anchor and reach), th, and at: the first window start
-    << 16, the anchor's distance from it << 8, and the number of further windows."""
+    """docs: th, text. h (hash of the anchor), th, at: the first window start << 18, the anchor's
+    distance from it << 10, the number of further windows << 2, and the kind; and gram, the
+    anchor, for a share of the hashes.
+
+    Of each hash a task sends one row that needs a decision: ONCE, or TWICE if it has met it
+    again. Further rows of a hash that it has told are SURE to repeat. Copies of a text it has
+    seen are left out; those that other tasks see are equal rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told, seen = np.zeros(0, np.uint64), set()
         for batch in textscan.sliced(batches):
-            th = batch.column(0).to_numpy()
-            data, at = textscan.buffers(batch.column(1))
+            fresh = []
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                if key not in seen:
+                    seen.add(key)
+                    fresh.append(i)
+            seen = seen if len(seen) < TOLD else set()
+            keys, texts = (c.take(pa.array(fresh, pa.int64())) for c in batch.columns)
+            data, at = textscan.buffers(texts)
+            parts = []
             for lo, hi, start, stop in _segments(at, SPAN):
                 edges = np.clip(at[lo : hi + 1], start, stop) - start
-                text, first, last, place, h, sh = anchors(data[start:stop], edges)
-                own = first + start - at[lo + text]
-                packed = (own << 16) | ((place - first) << 8) | (last - first)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(sh.view(np.int64)), pa.array(th[lo + text]), pa.array(packed)], ["h", "sh", "th", "at"])
-
-    return docs.mapInArrow(run, "h long, sh long, th long, at long")
+                text, first, last, place, h = anchors(data[start:stop], edges)
+                packed = ((first + start - at[lo + text]) << 16) | ((place - first) << 8) | (last - first)
+                parts.append((h, lo + text, packed, place + start))
+            if not parts:
+                continue
+            h, text, packed, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((text, h))
+            h, text, packed, place = h[order], text[order], packed[order], place[order]
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            heads = np.flatnonzero(new)
+            again = np.diff(np.append(heads, len(h))) > 1
+            spot = np.minimum(np.searchsorted(told, h[heads]), max(len(told) - 1, 0))
+            known = told[spot] == h[heads] if len(told) else np.zeros(len(heads), bool)
+            kind = np.full(len(h), SURE)
+            kind[heads] = np.where(known, SURE, np.where(again, TWICE, ONCE))
+            more = h[heads][again & ~known]
+            told = np.sort(np.concatenate([told, more])) if len(told) + len(more) < TOLD else more
+            shown = np.flatnonzero((kind != SURE) & (h & np.uint64((1 << SAMPLED) - 1) == 0))
+            raw = memoryview(data)
+            grams = pa.array([*(bytes(raw[a : a + GRAM]) for a in place[shown].tolist()), None], pa.binary())
+            pick = np.full(len(h), len(shown))
+            pick[shown] = np.arange(len(shown))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), keys.take(pa.array(text)), pa.array((packed << 2) | kind), grams.take(pa.array(pick))], ["h", "th", "at", "gram"])
+
+    return docs.mapInArrow(run, "h long, th binary, at long, gram binary")
 
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """th and place (at << 2 | kind) of anchors that occur again. Rows arrive in order of
-    (h, sh); a batch keeps back no more than its last reach, so memory is bounded.
-
-    FULL: another occurrence has the same reach. OPEN: none has, but other reaches share the
-    anchor. BOTH: FULL, and the one of its reach that stands for it among those others."""
+    """h, th, at (without the kind) and gram of the anchors whose hash occurs again, in another
+    text or another time in its own. Rows arrive in order of h, th and at; a batch keeps back
+    the rows of its last hash, a few of each task at most."""
+
+    def settle(rows: pa.Table) -> pa.RecordBatch:
+        h, at, key = rows["h"].to_numpy(), rows["at"].to_numpy(), rows["th"].combine_chunks().dictionary_encode().indices.to_numpy()
+        same = h[1:] == h[:-1]
+        other = np.append(False, same & (key[1:] != key[:-1])) | ((at & 3) == TWICE)
+        group = np.cumsum(np.append(True, ~same)) - 1
+        keep = np.bincount(group, other)[group] > 0
+        keep[1:] &= ~(same & (key[1:] == key[:-1]) & (at[1:] == at[:-1]))
+        return given(rows.filter(pa.array(keep)))
+
+    def given(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.set_column(2, "at", pa.array(rows["at"].to_numpy() >> 2))
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in rows.columns], rows.column_names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 4), np.int64)
-        before: int | None = None  # the anchor of the reach before the rows held
-        again = False  # whether earlier rows of the reach held have been sent
-
-        def settle(rows: np.ndarray, after: int | None, more: bool) -> tuple[np.ndarray, np.ndarray]:
-            """Kinds of rows, all reaches complete but for earlier rows of the first, if more."""
-            h, sh = rows[:, 0], rows[:, 1]
-            new = np.ones(len(rows), bool)
-            new[1:] = (h[1:] != h[:-1]) | (sh[1:] != sh[:-1])
-            run_no = np.cumsum(new) - 1
-            size = np.bincount(run_no)
-            size[0] += more
-            heads = np.flatnonzero(new)
-            left = np.empty(len(heads), bool)
-            left[0] = before is not None and before == h[0]
-            left[1:] = h[heads[1:]] == h[heads[:-1]]
-            right = np.append(left[1:], after is not None and after == h[-1])
-            mixed = left | right
-            kind = np.full(len(rows), -1)
-            kind[size[run_no] > 1] = FULL
-            lead = heads[mixed]
-            kind[lead] = np.where(size[run_no[lead]] > 1, BOTH, OPEN)
-            if more and kind[0] == BOTH:
-                kind[0] = FULL
-            return kind, heads
-
-        def out(rows: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
-            some = kind >= 0
-            return pa.RecordBatch.from_arrays([pa.array(rows[some, 2]), pa.array((rows[some, 3] << 2) | kind[some])], ["th", "place"])
-
+        held: pa.Table | None = None
         for batch in batches:
-            new = np.stack([c.to_numpy() for c in batch.columns], 1)
-            rows = np.concatenate([held, new]) if len(held) else new
-            if not len(rows):
+            sure = (batch.column(2).to_numpy() & 3) == SURE
+            table = pa.Table.from_batches([batch])
+            if sure.any():
+                yield given(table.filter(pa.array(sure)))
+                table = table.filter(pa.array(~sure))
+            table = pa.concat_tables([held, table]) if held is not None else table
+            if not table.num_rows:
                 continue
-            change = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
-            tail = int(np.flatnonzero(change)[-1]) + 1 if change.any() else 0
-            if tail:
-                kind, heads = settle(rows[:tail], int(rows[tail, 0]), again)
-                yield out(rows[:tail], kind)
-                before, again = int(rows[tail - 1, 0]), False
-            held = rows[tail:]
-            if len(held) > 2:  # of a reach with more rows the first two say all that is left to say
-                yield out(held[2:], np.full(len(held) - 2, FULL))
-                held = held[:2]
-        if len(held):
-            kind, _ = settle(held, None, again)
-            yield out(held, kind)
-
-    return rows.mapInArrow(run, "th long, place long")
+            h = table["h"].to_numpy()
+            change = np.flatnonzero(h != h[-1])
+            start = int(change[-1]) + 1 if len(change) else 0
+            if start:
+                yield settle(table.slice(0, start))
+            held = table.slice(start)
+        if held is not None and held.num_rows:
+            yield settle(held)
+
+    return rows.mapInArrow(run, "h long, th binary, at long, gram binary")
 
 
 def lcp_from(a: bytes, b: bytes, start: int) -> int:
@@ -270,21 +300,31 @@ def run_strings(run: bytes) -> Iterator[tuple[bytes, int, object]]:
 
 def agreeing(shared: np.ndarray, lefts: list[bytes], least: np.ndarray, most: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """For suffixes in order, of which windows may start `least` to `most` bytes before the
-    anchor: the least and most such distance whose window occurs again (most -1: none)."""
+    anchor: the least and most such distance whose window occurs again (most -1: none).
+
+    Going back byte by byte, suffixes of one anchor are told apart by what stands before them;
+    one that is alone doesn't go on. At each distance those that are still together and agree
+    far enough behind hold equal windows."""
     n = len(lefts)
-    longest = max((len(x) for x in lefts), default=0)
-    before = np.zeros((n, longest), np.uint64)
+    longest = min(max((len(x) for x in lefts), default=0), span - gram)
+    before = np.zeros((n, longest), np.uint8)
     for i, x in enumerate(lefts):
-        before[i, : len(x)] = np.frombuffer(x, np.uint8)
-    low, high, left = np.full(n, 1 << 20), np.full(n, -1), np.zeros(n, np.uint64)
-    for x in range(min(span - gram, longest) + 1):
+        before[i, : len(x)] = np.frombuffer(x, np.uint8)[:longest]
+    low, high = np.full(n, 1 << 20), np.full(n, -1)
+    live, alike = np.arange(n), np.cumsum(shared < gram)
+    for x in range(longest + 1):
         if x:
-            left = textscan.mix(left * np.uint64(0x9E3779B97F4A7C15) + before[:, x - 1] + np.uint64(1))
-        rows = np.flatnonzero((least <= x) & (x <= most))
-        if len(rows) < 2:
-            continue
-        group = np.cumsum(shared < span - x)[rows].astype(np.uint64)
-        _, place, count = np.unique(textscan.mix(left[rows] + textscan.mix(group)), return_inverse=True, return_counts=True)
+            go = most[live] >= x
+            live, alike = live[go], alike[go] * 256 + before[live[go], x - 1]
+        _, alike, count = np.unique(alike, return_inverse=True, return_counts=True)
+        go = count[alike] > 1
+        live, alike = live[go], alike[go]
+        if not len(live):
+            break
+        fits = least[live] <= x
+        rows = live[fits]
+        behind = np.cumsum(shared < span - x)[rows]
+        _, place, count = np.unique(alike[fits] * (n + 1) + behind, return_inverse=True, return_counts=True)
         hit = rows[count[place] > 1]
         low[hit] = np.minimum(low[hit], x)
         high[hit] = x
@@ -313,8 +353,18 @@ def cut(text: bytes, spans: np.ndarray) -> bytes:
     return b"".join(parts)
 
 
-_FOUND = "th long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-_MIXED = _FOUND + ", spans binary, packed binary, bucket int, run binary"
+_FOUND = "th binary, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_PARTS = _FOUND + ", packed binary, spans binary, bucket int, run binary, keys binary"
+_KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split(" ")[0] for x in schema.split(", ")]
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names = _names(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS[: len(names)], strict=True)], names)
 
 
 def _result(text: bytes, spans: np.ndarray, with_text: bool) -> tuple:
@@ -323,120 +373,191 @@ def _result(text: bytes, spans: np.ndarray, with_text: bool) -> tuple:
     return len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_text else None
 
 
-def _unpack(place: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Kind, first window start, anchor, and last window start."""
-    first = place >> 18
-    return place & 3, first, first + ((place >> 10) & 255), first + ((place >> 2) & 255)
+def settle_equal(strings: list[tuple[bytes, bytes, int, int]]) -> tuple[list[tuple[bytes, bytes, int, int]], dict[int, list[int]]]:
+    """The sorted suffixes (key, bytes before reversed, number of the text, anchor << 1 |
+    settled) with one of each lot of equal ones, settled; and by text the start and end of the
+    reach of each that was settled here."""
+    strings.sort()
+    out: list[tuple[bytes, bytes, int, int]] = []
+    spans: dict[int, list[int]] = {}
+
+    def note(x: tuple[bytes, bytes, int, int]) -> None:
+        if not x[3] & 1:
+            a = x[3] >> 1
+            spans.setdefault(x[2], []).extend((a - len(x[1]), a + len(x[0])))
+
+    for x in strings:
+        if out and out[-1][0] == x[0] and out[-1][1] == x[1]:
+            note(x)
+            note(out[-1])
+            out[-1] = (*out[-1][:3], out[-1][3] | 1)
+        else:
+            out.append(x)
+    return out, spans
 
 
-def _by_text(packed: DataFrame, buckets: int, with_text: bool) -> DataFrame:
-    """packed: th, packed text, places. Rows of three kinds: results of texts without an open
-    anchor; texts that wait for theirs, with the spans known so far; front-coded runs."""
+def _by_text(joined: DataFrame, splitters: list[bytes], with_text: bool) -> DataFrame:
+    """joined: th, packed text, copies, places. Rows of four kinds: results of texts with copies;
+    other texts, which wait; spans of texts that are settled; front-coded runs of a range with
+    the keys of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split(" ")[0] for x in _MIXED.split(", ")]
-        kinds = [pa.int64()] * 3 + [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
-        strings: dict[int, list] = {}
+        ranges: dict[int, list] = {}
+        keys: list[bytes] = []
         held = 0
 
         def runs() -> pa.RecordBatch:
-            rows = [(None,) * 7 + (b, front_coded(sorted(x))) for b, x in strings.items()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-        for batch in textscan.sliced(batches):
+            rows, found = [], {}
+            for bucket, strings in ranges.items():
+                left, spans = settle_equal(strings)
+                for k, x in spans.items():
+                    found.setdefault(k, []).extend(x)
+                own = sorted({k for _, _, k, _ in left})
+                number = {k: i for i, k in enumerate(own)}
+                rows.append((None,) * 7 + (bucket, front_coded([(a, b, number[k], p) for a, b, k, p in left]), b"".join(keys[k] for k in own)))
+            rows += [(keys[k], *(None,) * 5, np.array(x, np.int64).tobytes(), None, None, None) for k, x in found.items()]
+            return _batch(rows, _PARTS)
+
+        for batch in textscan.sliced(batches, 64):
             rows = []
-            for th, packed, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                text = zstandard.decompress(packed) if packed else b""
-                kind, first, anchor, last = _unpack(places.values.to_numpy())
-                whole = kind != OPEN
-                spans = merged(np.stack([first[whole], last[whole] + SPAN], 1))
-                waits = np.flatnonzero(kind != FULL)
-                for i in waits.tolist():
-                    f, a, z = int(first[i]), int(anchor[i]), int(last[i])
-                    key = text[a : z + SPAN]
-                    bucket = int.from_bytes(hashlib.blake2b(key[:GRAM], digest_size=8).digest(), "little") % buckets
-                    strings.setdefault(bucket, []).append((key, text[f:a][::-1], th, int(places.values[i].as_py())))
-                    held += len(key)
-                if (kind == OPEN).any():
-                    rows.append((th, None, None, None, None, spans.tobytes(), packed, None, None))
+            for th, packed, copies, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text, whole = zstandard.decompress(packed), copies > 1
+                if whole:
+                    rows.append((th, *_result(text, np.array([[0, len(text)]]), with_text), None, None, None, None, None))
                 else:
-                    rows.append((th, *_result(text, spans, with_text), None, None, None, None))
+                    rows.append((th, None, None, None, None, packed, None, None, None, None))
+                for at in places or ():
+                    first = at >> 16
+                    a, last = first + ((at >> 8) & 255), first + (at & 255)
+                    key = text[a : last + SPAN]
+                    ranges.setdefault(bisect_right(splitters, key[:GRAM]), []).append((key, text[first:a][::-1], len(keys), a << 1 | whole))
+                    held += len(key) + a - first
+                keys.append(th)
+                if held > SORTED:
+                    yield runs()
+                    ranges, keys, held = {}, [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-            if held > 16 << 20:
-                yield runs()
-                strings, held = {}, 0
-        if strings:
+                yield _batch(rows, _PARTS)
+        if ranges:
             yield runs()
 
-    return packed.mapInArrow(run, _MIXED)
+    return joined.mapInArrow(run, _PARTS)
+
+
+def merge_runs(runs: list[bytes], keys: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """Keys of texts and their spans that the runs of a range show to repeat. keys: those of
+    each run's texts, 16 bytes each."""
+    table = b"".join(keys)
+    offsets = np.concatenate([[0], np.cumsum([len(k) // 16 for k in keys])]).tolist()
+
+    def numbered(run: bytes, offset: int) -> Iterator[tuple[bytes, int, object]]:
+        for key, shared, (left, text, place) in run_strings(run):
+            yield key, shared, (left, text + offset, place)
+
+    def spans(rows: list[tuple[int, int, bytes, int, int]]) -> Iterator[tuple[bytes, bytes]]:
+        shared, size, place, text = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 3, 4))
+        lefts = [r[2] for r in rows]
+        low, high = agreeing(shared, lefts, np.maximum(SPAN - size, 0), np.fromiter(map(len, lefts), np.int64, len(lefts)))
+        found = np.flatnonzero((high >= 0) & (place & 1 == 0))
+        found = found[np.argsort(text[found], kind="stable")]
+        anchor = place[found] >> 1
+        pairs = np.stack([anchor - high[found], anchor - low[found] + SPAN], 1)
+        edges = np.flatnonzero(np.diff(text[found])) + 1
+        for k, own in zip(text[found][np.concatenate([[0], edges])].tolist() if len(found) else [], np.split(pairs, edges), strict=len(found) > 0):
+            yield table[16 * k : 16 * k + 16], own.tobytes()
+
+    rows: list[tuple[int, int, bytes, int, int]] = []
+    for key, shared, (left, text, place) in LoserTree([numbered(r, o) for r, o in zip(runs, offsets, strict=False)]):
+        if shared < GRAM and len(rows) >= TOGETHER:
+            yield from spans(rows)
+            rows = []
+        rows.append((shared if rows else 0, len(key), left, place, text))
+    if rows:
+        yield from spans(rows)
+
 
+def _merged_spans(runs: DataFrame) -> DataFrame:
+    """runs: bucket, run, keys. th and spans that each range shows; ranges are merged one
+    after the other."""
 
-def _merge_runs(table: pa.Table) -> pa.Table:
-    """All runs of a bucket: th and packed span (start << 32 | end) of open occurrences."""
-    shared, lefts, ths, places = [], [], [], []
-    for _, n, (left, th, place) in LoserTree([run_strings(r.as_py()) for r in table["run"]]):
-        shared.append(n)
-        lefts.append(left)
-        ths.append(th)
-        places.append(place)
-    kind, first, anchor, last = _unpack(np.array(places, np.int64))
-    low, high = agreeing(np.array(shared, np.int64), lefts, np.maximum(anchor - last, 0), anchor - first)
-    found = np.flatnonzero((high >= 0) & (kind == OPEN))
-    return pa.table({"th": pa.array(np.array(ths, np.int64)[found]), "start": pa.array((anchor - high)[found]), "end": pa.array((anchor - low)[found] + SPAN)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(runs: list[bytes], keys: list[bytes]) -> Iterator[pa.RecordBatch]:
+            found = list(merge_runs(runs, keys))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], ["th", "spans"])
+
+        bucket, runs, keys = None, [], []
+        for batch in textscan.sliced(batches, 64):
+            for b, r, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != bucket:
+                    yield from out(runs, keys)
+                    bucket, runs, keys = b, [], []
+                runs.append(r)
+                keys.append(k)
+        yield from out(runs, keys)
+
+    return runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "th binary, spans binary")
+
+
+def _splitters(marks: DataFrame, ranges: int) -> list[bytes]:
+    """Up to ranges - 1 anchors that part the sampled ones evenly; at most about SAMPLE of
+    those reach the driver, whatever the input."""
+    shown = marks.filter("gram is not null").select("h", "gram")
+    share = 1 << 20
+    if (n := shown.count()) > SAMPLE:
+        share = max(1, (share * SAMPLE) // n)
+    grams = sorted(r.gram for r in shown.filter((F.shiftright("h", SAMPLED).bitwiseAND((1 << 20) - 1)) < share).select("gram").collect())
+    return sorted({bytes(grams[len(grams) * k // ranges]) for k in range(1, ranges)}) if grams else []
 
 
 def repeats(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataFrame:
-    """The columns _FOUND for every different text (th: its xxhash64) with a repeated anchor."""
-    spark = docs.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    plain = docs.select(F.xxhash64(text_of(text)).alias("th"), text_of(text).alias("text")).filter(F.octet_length("text") >= SPAN)
-    dealt = text_anchors(plain).repartition("h").sortWithinPartitions("h", "sh", "th", "at")
-    places = repeated_anchors(dealt).groupBy("th").agg(F.collect_list("place").alias("places"))
+    """The columns _FOUND for every different text (th: its key) that holds a repeat or has
+    copies."""
+    parallel = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    plain = docs.select(text_key(text).alias("th"), text_of(text).alias("text")).filter(F.octet_length("text") >= SPAN)
+    deal = F.when(F.col("at").bitwiseAND(3) == SURE, F.xxhash64("th", "at")).otherwise(F.col("h"))
+    dealt = text_anchors(plain).repartition(deal).sortWithinPartitions("h", "th", "at")
+    marks = stored(repeated_anchors(dealt), "anchors")
+    splitters = _splitters(marks, max(parallel, -(-marks.count() * 2 * SPAN // RANGE)))
+    places = marks.groupBy("th").agg(F.collect_set("at").alias("places"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdCompressor(1)
         for batch in textscan.sliced(batches, 8192):
             data, at = textscan.buffers(batch.column(1))
-            raw, seen = memoryview(data), set()
-            th, keep, packed = batch.column(0).to_pylist(), [], []
-            for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-                if th[i] not in seen:  # copies in one batch
-                    seen.add(th[i])
-                    keep.append(th[i])
+            raw, seen, packed = memoryview(data), {}, []
+            for key, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if key not in seen:
                     packed.append(coder.compress(raw[a:b]))
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(packed, pa.binary())], ["th", "packed"])
+                seen[key] = seen.get(key, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(packed, pa.binary()), pa.array(seen.values(), pa.int64())], ["th", "packed", "copies"])
 
-    texts = plain.mapInArrow(pack, "th long, packed binary").groupBy("th").agg(F.first("packed").alias("packed"))
-    joined = texts.join(places, "th").select("th", "packed", "places")
-    parts = stored(_by_text(joined, buckets, with_text), "repeats")
-    runs = parts.filter("run is not null").select("bucket", "run")
-    spans = runs.groupBy("bucket").applyInArrow(_merge_runs, "th long, start long, end long")
-    spans = spans.groupBy("th").agg(F.collect_list(F.struct("start", "end")).alias("more"))
-    waiting = parts.filter("packed is not null").select("th", "spans", "packed").join(spans, "th", "left")
+    texts = plain.mapInArrow(pack, "th binary, packed binary, copies long").groupBy("th").agg(F.first("packed").alias("packed"), F.sum("copies").alias("copies"))
+    joined = texts.join(places, "th", "left").filter("copies > 1 OR places IS NOT NULL").select("th", "packed", "copies", "places")
+    parts = stored(_by_text(joined, splitters, with_text), "repeats")
+    spans = parts.filter("spans is not null").select("th", "spans").union(_merged_spans(parts.filter("run is not null").select("bucket", "run", "keys")))
+    spans = spans.groupBy("th").agg(F.collect_list("spans").alias("spans"))
+    waiting = parts.filter("packed is not null").select("th", "packed").join(spans, "th")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textscan.sliced(batches):
             rows = []
-            for th, known, packed, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                both = np.concatenate([np.frombuffer(known, np.int64).reshape(-1, 2), np.array([(x["start"], x["end"]) for x in more or ()], np.int64).reshape(-1, 2)])
-                rows.append((th, *_result(zstandard.decompress(packed), both, with_text)))
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
-            names = [x.split(" ")[0] for x in _FOUND.split(", ")]
+            for th, packed, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.append((th, *_result(zstandard.decompress(packed), np.frombuffer(b"".join(found), np.int64).reshape(-1, 2), with_text)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield _batch(rows, _FOUND)
 
-    done = parts.filter("n_removed is not null").select("th", "n_removed", "n_spans", "kept_sha256", "kept")
+    done = parts.filter("n_removed is not null").select(*_names(_FOUND))
     return done.unionByName(waiting.mapInArrow(finish, _FOUND))
 
 
 def measure_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     found = repeats(docs, text).drop("kept")
-    rows = docs.select(id_col, F.xxhash64(text_of(text)).alias("th"), F.octet_length(text_of(text)).cast("long").alias("n_bytes"), F.sha2(text_of(text), 256).alias("whole"))
+    rows = docs.select(F.col(id_col).alias("id"), text_key(text).alias("th"), F.octet_length(text_of(text)).cast("long").alias("n_bytes"), F.sha2(text_of(text), 256).alias("whole"))
     out = rows.join(found, "th", "left")
     zero = F.lit(0).cast("long")
-    return out.select(id_col, "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    return out.select(F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
 
 
 def cut_text(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -444,10 +565,9 @@ def cut_text(docs: DataFrame, text: str = "text") -> DataFrame:
     found = repeats(docs, text, with_text=True).filter("n_removed > 0")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()], pa.string())], ["th", "kept"])
+        for batch in textscan.sliced(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()], pa.string())], ["th", "left"])
 
-    key, kept = free_name(docs, "th"), free_name(docs, "kept")
-    short = found.select("th", "kept").mapInArrow(whole, "th long, kept string").select(F.col("th").alias(key), F.col("kept").alias(kept))
-    out = docs.withColumn(key, F.xxhash64(text_of(text))).join(short, key, "left")
-    return out.withColumn(text, F.coalesce(F.col(kept), F.col(text))).select(*docs.columns)
+    short = found.select("th", "kept").mapInArrow(whole, "th binary, left string")
+    out = docs.select(whole_row(docs).alias("row"), text_key(text).alias("th")).join(short, "th", "left")
+    return out.select(*[F.coalesce("left", F.col("row")[c]).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

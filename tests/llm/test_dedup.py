@@ -152,18 +152,66 @@ def test_repeated_passages_of_odd_rows(docs, prose):
     assert X.measure_repeats(docs([])).count() == 0
 
 
-def test_kinds_do_not_depend_on_batches(spark):
-    rows = [(1, 1, 10, 0), (1, 1, 11, 0), (1, 1, 12, 0), (1, 2, 13, 0), (2, 5, 14, 0), (3, 6, 15, 0), (3, 7, 16, 0), (4, 8, 17, 0), (4, 8, 18, 0)]
+def test_repeated_anchors_do_not_depend_on_batches(spark):
+    key = lambda n: bytes([n]) * 16
+    once, twice, sure = X.ONCE, X.TWICE, X.SURE
+    rows = [
+        (1, key(10), 0, once), (1, key(11), 0, once), (1, key(11), 0, once),  # two texts, one of them met by two tasks
+        (2, key(12), 0, once), (2, key(12), 0, once),  # copies of one text: nothing repeats
+        (3, key(13), 5, twice), (3, key(13), 5, twice), (3, key(14), 9, once),
+        (4, key(15), 7, sure), (5, key(16), 0, once), (6, key(17), 1, twice),
+    ]
+    want = {(1, 10, 0), (1, 11, 0), (3, 13, 5), (3, 14, 9), (4, 15, 7), (6, 17, 1)}
     for size in ("1", "2", "3", "100"):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
-        got = X.repeated_anchors(spark.createDataFrame(rows, "h long, sh long, th long, at long").coalesce(1)).collect()
-        kinds = {r.th: r.place & 3 for r in got}
-        assert {k for k, v in kinds.items() if v == X.OPEN} == {13, 15, 16}
-        assert sorted(kinds[k] for k in (10, 11, 12)) == [X.FULL, X.FULL, X.BOTH]
-        assert kinds[17] == kinds[18] == X.FULL and 14 not in kinds and len(got) == 8
+        made = spark.createDataFrame([(h, k, at << 2 | kind, None) for h, k, at, kind in rows], "h long, th binary, at long, gram binary").coalesce(1)
+        got = [(r.h, r.th[0], r.at) for r in X.repeated_anchors(made.sortWithinPartitions("h", "th", "at")).collect()]
+        assert len(got) == len(want) and set(got) == want
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def brute_agreeing(rows, gram):
+    """Least and most distance of each suffix's repeated windows, by comparing all pairs."""
+    out = []
+    for i, (key, left) in enumerate(rows):
+        hits = []
+        for x in range(len(left) + 1):
+            mine = left[:x][::-1] + key[: X.SPAN - x]
+            if len(mine) == X.SPAN and any(j != i and k[:gram] == key[:gram] and len(w) >= x and w[:x][::-1] + k[: X.SPAN - x] == mine for j, (k, w) in enumerate(rows)):
+                hits.append(x)
+        out.append((min(hits, default=None), max(hits, default=-1)))
+    return out
+
+
+def test_merged_ranges_give_what_pairs_give():
+    draw = random.Random(8)
+    letters = lambda n: bytes(draw.choice(b"ab") for _ in range(n))
+    grams, rights, lefts = [letters(X.GRAM) for _ in range(3)], [letters(100) for _ in range(3)], [letters(100) for _ in range(3)]
+    rows = []
+    for _ in range(120):
+        right, left = draw.choice(rights), draw.choice(lefts)
+        cut_right, cut_left = draw.randint(0, 100), draw.randint(0, 100)
+        right, left = right[:cut_right] + letters(100 - cut_right), left[:cut_left] + letters(100 - cut_left)
+        rows.append((draw.choice(grams) + right[: draw.randint(0, 100)], left[: draw.randint(0, 100)]))
+    rows = [r for r in rows if len(r[0]) + len(r[1]) >= X.SPAN]
+    want = brute_agreeing(rows, X.GRAM)
+    keys = [bytes([i // 256, i % 256]) * 8 for i in range(len(rows))]
+    runs, tables, found = [], [], {}
+    for own in (range(0, len(rows), 3), range(1, len(rows), 3), range(2, len(rows), 3)):
+        strings, settled = X.settle_equal([(*rows[i], k, 1000 << 1) for k, i in enumerate(own)])
+        runs.append(X.front_coded(strings))
+        tables.append(b"".join(keys[i] for i in own))
+        for k, spans in settled.items():
+            found.setdefault(keys[own[k]], []).extend(np.array(spans).reshape(-1, 2).tolist())
+    for key, spans in X.merge_runs(runs, tables):
+        found.setdefault(key, []).extend(np.frombuffer(spans, np.int64).reshape(-1, 2).tolist())
+    for key, (least, most) in zip(keys, want, strict=True):
+        spans = found.get(key, [])
+        assert (bool(spans)) == (most >= 0)
+        if spans:
+            assert (min(a for a, _ in spans), max(b for _, b in spans)) == (1000 - most, 1000 - least + X.SPAN)
+
+
 def test_loser_tree_merges_and_skips_known_prefixes():
     draw = random.Random(2)
     runs = [sorted("".join(draw.choice("ab") for _ in range(draw.randint(0, 30))).encode() for _ in range(draw.randint(0, 40))) for _ in range(7)]
