@@ -200,10 +200,11 @@ class Block:
             held = np.cumsum(sizes[order[i]]) - sizes[order[i]]
             before = np.empty(self.forest.width, np.int64)
             before[order[i]] = held
-            near, _ = self.nearest(q[i], everything)
+            near, far = self.nearest(q[i], everything)
+            near = near[far > 0][: self.k]  # equal vectors are met at once
             needs.append(before[self.leaves[near]].min(axis=1) + 1)
-        needs = np.sort(np.concatenate(needs)) if needs else np.zeros(1, np.int64)
-        return int(needs[max(int(np.ceil(self.recall * len(needs))), 1) - 1])
+        needs = np.sort(np.concatenate(needs)) if needs else np.zeros(0, np.int64)
+        return int(needs[max(int(np.ceil(self.recall * len(needs))), 1) - 1]) if len(needs) else 0
 
     def answers(self, q: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """The nearest classes found of each query, and their distances."""

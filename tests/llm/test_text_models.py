@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import collections
+import heapq
 import math
 import re
 import zlib
@@ -212,6 +213,108 @@ def test_ann_budget_grows_until_recall_is_met(spark):
     assert hit >= 0.98 * 600
 
 
+def test_ranking_has_the_least_loss_and_the_best_cut():
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=(80, 5))
+    liked = x @ [1.0, -2.0, 0.5, 0.0, 0.0] + draw.normal(size=80) > 0
+    i, j = B.partners(liked)
+    assert liked[i].all() and not liked[j].any() and np.bincount(np.concatenate([i, j]), minlength=80).min() >= B.PARTNERS
+
+    def loss(w):
+        s = x @ w
+        return sum(math.log1p(math.exp(s[b] - s[a])) for a, b in zip(i.tolist(), j.tolist(), strict=True)) / len(i) + B.RIDGE / 2 * sum(v * v for v in w)
+
+    w = B.fit_weights(x, i, j)
+    least = loss(w)
+    for k in range(5):
+        for step in (-0.02, 0.02):
+            assert loss(w + step * np.eye(5)[k]) > least
+    s = x @ w
+    right = lambda c: np.mean(s[liked] >= c) + np.mean(s[~liked] < c)
+    assert right(B.best_cut(s, liked)) >= max(right(c) for c in s) - 0.005
+
+
+def test_features_are_those_of_the_whole_text(prose):
+    long = (prose(3000) + "\n") * 60
+    parts = B.text_features(pa.array([long, None, "", "one two\none two", long]))
+    assert parts.shape == (5, B.WIDTH) and (parts[0] == parts[4]).all() and not parts[1:3].any()
+    at = {m: B.WORDS + B.BYTES + k for k, m in enumerate(B.MEASURES)}
+    assert parts[3, at["different_words"]] == 0.5 and parts[3, at["lines_again"]] == 0.5
+    words = re.findall("[^ \n]+", long.lower())
+    assert parts[0, at["different_words"]] == pytest.approx(len(set(words)) / len(words), rel=1e-4)
+    assert parts[0, at["lines_again"]] == pytest.approx(59 / 60, rel=1e-4)
+
+
+def test_classifier_on_planted_junk(docs, spark, prose):
+    junk = [lambda t: t.upper(), lambda t: " ".join(w for w in t.split() for _ in range(3)), lambda t: "!!! $$$ ".join(t.split()), lambda t: "click here now " * 20]
+    pairs = [(i, prose(80) if i % 2 else junk[i // 2 % 4](prose(80))) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    held = crc_fold("doc_id") == 0
+    rows = B.classify(docs(pairs), labels, ~held).withColumn("held", held).filter("held").collect()
+    assert len(rows) > 50 and np.mean([r.predicted == r.doc_id % 2 for r in rows]) > 0.97
+    few = B.classify(docs(pairs), labels, ~held, most=100).collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in few]) > 0.9
+
+
+def walked(forest, q):
+    """Leaves of all trees, taken from a heap of branches one by one."""
+    first, heap, out = (1 << forest.depth) - 1, [(0.0, t, 0) for t in range(len(forest.normals))], []
+    margins = [(n @ q - h).tolist() for n, h in zip(forest.normals, forest.thresholds, strict=True)]
+    heapq.heapify(heap)
+    while heap:
+        far, t, node = heapq.heappop(heap)
+        while node < first:
+            m = margins[t][node]
+            heapq.heappush(heap, (far + m * m, t, 2 * node + 1 + (m <= 0)))
+            node = 2 * node + 1 + (m > 0)
+        out.append((far, (t << forest.depth) + node - first))
+    return out
+
+
+def test_ann_queue_is_that_of_a_heap():
+    x = np.random.default_rng(1).normal(size=(500, 12)).astype(np.float32)
+    forest = A.grow(x, 5, 4)
+    for q, order in zip(x[:10], forest.queue(x[:10]), strict=True):
+        heap = walked(forest, q)
+        assert [round(f, 4) for f, _ in heap] == sorted(round(f, 4) for f, _ in heap)
+        far = {leaf: f for f, leaf in heap}
+        assert np.allclose([far[k] for k in order.tolist()], [f for f, _ in heap], atol=1e-5)
+        assert sorted(order.tolist()) == sorted(far)
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_ann_looks_at_under_half_the_table(clustered):
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(6000, 32)) if not clustered else draw.normal(size=(60, 32))[draw.integers(0, 60, 6000)] * 3 + draw.normal(size=(6000, 32))
+    x = x.astype(np.float32)
+    block = A.Block(np.arange(6000), x, 10, A.TREES, A.LEAF, A.SEARCH, A.SAMPLE, A.RECALL, False)
+    seen, hit = [], 0
+    nearest = block.nearest
+    block.answers(x[: A.PROBED].astype(float))
+    block.nearest = lambda q, c: (seen.append(len(c)), nearest(q, c))[1]
+    for q, (found, _) in zip(x[200:400].astype(float), block.answers(x[200:400].astype(float)), strict=True):
+        hit += len(set(block.first[found].tolist()) & set(np.argsort(np.square(x - q).sum(axis=1))[:11].tolist()))
+    assert hit >= 0.95 * 11 * 200 and np.mean(seen) < (0.1 if clustered else 0.5) * 6000
+
+
+def test_ann_blocks_and_exact(spark):
+    draw = np.random.default_rng(9)
+    x = (draw.normal(size=(30, 16))[draw.integers(0, 30, 4000)] * 2 + draw.normal(size=(4000, 16))).astype(np.float32)
+    x[100:1500] = x[50]  # a third of the rows are one vector
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], "vec_id long, embedding array<float>, ids string")
+    want = {}
+    for q in range(0, 4000, 100):
+        d = np.sqrt(np.square(x.astype(float) - x[q]).sum(axis=1))
+        want[q] = [i for i in np.lexsort((np.arange(4000), d)).tolist() if i != q][:10]
+    for exact in (False, True):
+        got = collections.defaultdict(dict)
+        for r in A.search(df, F.col("id") % 100 == 0, sample=512, blocks=8, exact=exact).collect():
+            got[r.query_id][r.rank] = r.id
+        hit = sum(len(set(got[q].values()) & set(want[q])) for q in want)
+        assert hit >= (1 if exact else 0.95) * 400 and all(len(got[q]) == 10 for q in want)
+        assert not exact or all([got[q][k] for k in range(1, 11)] == want[q] for q in want)
+
+
 def test_sharding(docs):
     names = H.shard_names(7)
     table = H.lookup_table(names, 211)
