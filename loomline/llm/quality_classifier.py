@@ -174,7 +174,7 @@ def best_cut(scores: np.ndarray, liked: np.ndarray) -> float:
     """The lowest quantile of the scores at which the two shares of right answers are about
     largest together (of two doubtful errors, keeping a bad text is the lesser), moved half-way
     to the next score below, so that near ties stay on its good side."""
-    cuts = np.unique(np.quantile(scores, np.linspace(0, 1, 4001)))
+    cuts = np.unique(np.quantile(scores, np.linspace(0, 1, 4001), method="nearest"))
     good, bad = np.sort(scores[liked]), np.sort(scores[~liked])
     right = 1 - np.searchsorted(good, cuts) / len(good) + np.searchsorted(bad, cuts) / len(bad)
     best = cuts[int(np.flatnonzero(right >= right.max() - 0.004)[0])]
