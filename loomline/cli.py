@@ -1,7 +1,7 @@
 """Console: choose and run a plan, with breakpoints, pauses and resumes.
 
 python -m loomline.cli --sf-dir DIR, then: list, choose N|FILE, show, run, pause, resume,
-set condition STEP PREDICATE, set count N, wait, result, quit."""
+set condition STEP PREDICATE, set count [STEP] N, wait, result (its first ROWS rows), quit."""
 
 from __future__ import annotations
 
@@ -13,8 +13,11 @@ from pyspark.sql import SparkSession
 
 from loomline import demo
 from loomline.sources.store import scratch
-from loomline.streaming.control import ConditionalBreakpoint, CountBreakpoint, WorkflowRun
-from loomline.streaming.plan_run import plan_run
+from loomline.streaming.control import ConditionalBreakpoint, CountBreakpoint
+from loomline.streaming.plan_run import PlanRun, plan_run
+
+#: Rows of a result that are shown.
+ROWS = 100
 
 
 class Console:
@@ -22,7 +25,7 @@ class Console:
         self.spark, self.sf_dir = spark, sf_dir
         self.plan, self.run, self.marks = demo.plans(sf_dir)["w5"], None, 0
 
-    def _ready(self) -> WorkflowRun:
+    def _ready(self) -> PlanRun:
         if self.run is None:
             self.run = plan_run(self.spark, self.plan, scratch(self.spark, "run"))
         return self.run
@@ -51,12 +54,13 @@ class Console:
                 self.marks += 1
                 self._ready().set_breakpoint(ConditionalBreakpoint(f"condition-{self.marks}", " ".join(predicate), step))
                 return f"condition-{self.marks}"
-            case ["set", "count", target]:
+            case ["set", "count", *step, target]:
                 self.marks += 1
-                self._ready().set_breakpoint(CountBreakpoint(f"count-{self.marks}", int(target)))
+                self._ready().set_breakpoint(CountBreakpoint(f"count-{self.marks}", int(target), *step))
                 return f"count-{self.marks}"
             case ["result"]:
-                return "\n".join(map(str, self._ready().result().limit(100).collect()))
+                rows = self._ready().result().limit(ROWS + 1).collect()
+                return "\n".join([*map(str, rows[:ROWS]), *([f"... and more than these {ROWS} rows"] if len(rows) > ROWS else [])])
             case _:
                 return __doc__ or ""
 

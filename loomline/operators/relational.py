@@ -57,10 +57,11 @@ AGGREGATES = ("Sum", "Max", "Min", "Average", "Count")
 
 def group_by(df: DataFrame, key: Field, value: Field, how: str, name: str | None = None, as_text: bool = False, drop_null_groups: bool = False) -> DataFrame:
     """The key and one aggregate of one field. Sums and averages are doubles, counts are of
-    values that aren't null, extremes have the field's own type.
+    values that aren't null, extremes have the field's own type and order: of texts, that of
+    their letters, so "9" is after "10".
 
-    as_text: the aggregate as the text of a double. drop_null_groups: no row for a group
-    without values."""
+    as_text: the aggregate as the text of a double; extremes are those of the numbers that the
+    values stand for. drop_null_groups: no row for a group without values."""
     if how not in AGGREGATES:
         raise ValueError(f"unknown aggregate: {how}")
     by, over = column(df, key), column(df, value)
@@ -69,6 +70,8 @@ def group_by(df: DataFrame, key: Field, value: Field, how: str, name: str | None
     if drop_null_groups:
         df = df.filter(over.isNotNull())
     numbers = over.cast("double")
+    if as_text and how in ("Max", "Min"):
+        over = numbers
     made = {"Sum": F.sum(numbers), "Average": F.avg(numbers), "Count": F.count(over), "Max": F.max(over), "Min": F.min(over)}[how]
     if as_text:
         made = made.cast("double").cast("string")

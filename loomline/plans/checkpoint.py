@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql.utils import AnalysisException
 
 from loomline.plans.compiler import Compiler
 from loomline.plans.workflow import Workflow
+from loomline.sources.files import files_state
 
 
 def write_stage(df: DataFrame, path: str, keys: list[str] | None = None, buckets: int | None = None) -> None:
@@ -32,8 +34,9 @@ def read_stage(spark: SparkSession, path: str) -> DataFrame | None:
 @dataclass
 class Checkpoints:
     """Keeps the inputs of joins, as places where rows are dealt anew, below root. A stage's
-    folder is named by what it computes, so a changed plan doesn't meet an old stage.
-    salt: anything else the result depends on, such as a version of the input files."""
+    folder is named by what it computes, so a changed plan doesn't meet an old stage: by the
+    operators and parameters, the query plan that the compiler's options have led to, and the
+    names, sizes and times of the files read. salt: anything else the result depends on."""
 
     spark: SparkSession
     root: str
@@ -42,7 +45,9 @@ class Checkpoints:
     def after(self, plan: Workflow, op: str, df: DataFrame) -> DataFrame:
         if not any(plan.ops[d].type == "HashJoin" for d in plan.outputs[op]):
             return df
-        path = f"{self.root}/{op}-{plan.fingerprint(op, self.salt)}"
+        # numbers of expressions differ from compilation to compilation
+        query = re.sub(r"#\d+L?", "", df._jdf.queryExecution().analyzed().toString())
+        path = f"{self.root}/{op}-{plan.fingerprint(op, '|'.join([self.salt, query, files_state(df)]))}"
         if (kept := read_stage(self.spark, path)) is None:
             write_stage(df, path)
             kept = read_stage(self.spark, path)

@@ -17,6 +17,8 @@ from loomline.plans.workflow import Op, PlanError, Workflow
 from loomline.sources import files
 from loomline.sources.generate import generate
 
+#: The operator types that read files.
+FILE_SCANS = ("LocalScanSource", "HDFSScanSource")
 #: What an operator type is compiled by: (compiler, operator, named inputs) -> DataFrame.
 Builder = Callable[["Compiler", Op, dict[str, DataFrame]], DataFrame]
 
@@ -57,6 +59,8 @@ class Compiler:
     #: Called on each operator's result, for checkpoints and breakpoints.
     after: Callable[[Workflow, str, DataFrame], DataFrame] = lambda plan, op, df: df
     made: dict[str, DataFrame] = field(default_factory=dict)
+    #: Types of the plan's operators.
+    kinds: dict[str, str] = field(default_factory=dict)
 
     def compile(self, plan: Workflow) -> dict[str, DataFrame]:
         """The result of each sink; every operator is compiled once, whatever reads it."""
@@ -68,6 +72,7 @@ class Compiler:
 
     def build(self, plan: Workflow, op_id: str) -> DataFrame:
         op = plan.ops[op_id]
+        self.kinds = {i: o.type for i, o in plan.ops.items()}
         inputs = {i: self.made[i] for i in plan.inputs[op_id]}
         try:
             return REGISTRY[op.type].build(self, op, inputs)
@@ -124,7 +129,7 @@ def _remote(c: Compiler, op: Op, inputs: dict[str, DataFrame]) -> DataFrame:
 
 @register("Generate", (0, 0), ("limit",), stateless=True)
 def _generate(c: Compiler, op: Op, inputs: dict[str, DataFrame]) -> DataFrame:
-    return generate(c.spark, op.params["limit"], op.params.get("numWorkers", c.workers) if c.compat else None)
+    return generate(c.spark, op.params["limit"], op.params.get("numWorkers", c.workers) if c.compat else None, delay=op.params.get("delay", 0))
 
 
 @register("KeywordMatcher", needs=("attributeName", "keyword"), stateless=True)
@@ -158,23 +163,19 @@ def _projection(c: Compiler, op: Op, inputs: dict[str, DataFrame]) -> DataFrame:
 
 @register("HashJoin", (2, None), ("innerTableIndex", "outerTableIndex"))
 def _join(c: Compiler, op: Op, inputs: dict[str, DataFrame]) -> DataFrame:
-    """inner: the id of the build input; else the first link's, or, with compat, the input
-    scan of least size."""
+    """inner: the id of the build input; else the first link's, or, with compat, that of the
+    smallest file if some inputs are file scans."""
     inner = op.params.get("inner")
     if inner is None:
-        inner = _least(inputs) if c.compat else next(iter(inputs))
+        inner = next(iter(inputs))
+        if c.compat and (scans := [i for i in inputs if c.kinds.get(i) in FILE_SCANS]):
+            inner = min(scans, key=lambda i: files.total_bytes(inputs[i]))
     if inner not in inputs:
         raise PlanError(f"{op.id}: no input {inner}")
     rest = {i: df for i, df in inputs.items() if i != inner}
     return relational.hash_join(inputs[inner], _one(rest), op.params["innerTableIndex"], op.params["outerTableIndex"])
 
 
-def _least(inputs: dict[str, DataFrame]) -> str:
-    """The input of least size by the optimizer's estimate."""
-    size = lambda i: int(str(inputs[i]._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(inputs, key=size)
-
-
 @register("Aggregation", stateless=False)
 def _count(c: Compiler, op: Op, inputs: dict[str, DataFrame]) -> DataFrame:
     return relational.count_rows(_one(inputs), op.params.get("name", "cnt"))

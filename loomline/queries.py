@@ -3,6 +3,9 @@ same rows."""
 
 from __future__ import annotations
 
+import json
+import random
+import re
 from collections.abc import Callable
 from functools import partial
 
@@ -378,3 +381,134 @@ def checkpoint_stages(spark: SparkSession, d: str) -> DataFrame:
     Compiler(spark, after=Checkpoints(spark, root).after).compile(Workflow.from_json(demo.plans(d)["w4"]))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(root)
     return files.select(F.element_at(F.split("path", "/"), -2).alias("stage")).agg(F.count_distinct("stage").alias("n_stages"))
+
+
+def _plan(*ops: dict, links: str) -> Workflow:
+    """Operators as (id, type, parameters), and links as 'a>b c>b'."""
+    pairs = [x.split(">") for x in links.split()]
+    return Workflow.from_json(json.dumps({"operators": list(ops), "links": [{"origin": a, "destination": b} for a, b in pairs]}))
+
+
+def _op(id_: str, kind: str, **params: object) -> dict:
+    return {"operatorID": id_, "operatorType": kind, **params}
+
+
+def _scan(id_: str, d: str, name: str, keep: list[int] | None = None) -> dict:
+    return _op(id_, "LocalScanSource", tableName=f"{d}/{name}.parquet", delimiter="|", **({"indicesToKeep": keep} if keep else {}))
+
+
+def _delimited(spark: SparkSession, d: str, name: str, columns: list[str]) -> str:
+    path = scratch(spark, "delimited")
+    table(spark, d, name).select(*columns).write.options(sep="|", quote="", emptyValue="").csv(path)
+    return path
+
+
+@query("SELECT o_orderstatus, max(CAST(o_custkey AS DOUBLE)) AS most FROM orders GROUP BY 1")
+def json_compat_max(spark: SparkSession, d: str) -> DataFrame:
+    """The older engine's extremes of text fields are those of the numbers they stand for."""
+    path = _delimited(spark, d, "orders", ["o_custkey", "o_orderstatus"])
+    plan = _plan(
+        _op("Scan", "LocalScanSource", tableName=path, delimiter="|", fields=[["o_custkey", "string"], ["o_orderstatus", "string"]]),
+        _op("Group", "GroupBy", groupByField=1, aggregateField=0, aggregationType="Max", name="most"),
+        links="Scan>Group",
+    )
+    return compile_workflow(spark, plan, compat=True).withColumn("most", F.col("most").cast("double"))
+
+
+@query("SELECT o_orderkey, o_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def json_compat_join_sides(spark: SparkSession, d: str) -> DataFrame:
+    """The older engine builds on the smallest file, whichever link comes first."""
+    plan = _plan(_scan("Orders", d, "orders", [0, 1]), _scan("Customers", d, "customer", [0, 1]), _op("Join", "HashJoin", innerTableIndex=0, outerTableIndex=1), links="Orders>Join Customers>Join")
+    return compile_workflow(spark, plan, compat=True)
+
+
+@query("SELECT l_returnflag, count(l_quantity) AS n, sum(l_quantity) AS qty FROM lineitem GROUP BY 1")
+def checkpoint_compat(spark: SparkSession, d: str) -> DataFrame:
+    """A run with the older engine's answers and one without, over one folder of stages: each
+    meets only its own."""
+    scan, by = _scan("Scan", d, "lineitem", [4, 8]), {"groupByField": 1, "aggregateField": 0}
+    plan = _plan(
+        scan, _op("Sum", "GroupBy", aggregationType="Sum", name="qty", **by), _op("Count", "GroupBy", aggregationType="Count", name="n", **by),
+        _op("Join", "HashJoin", innerTableIndex=0, outerTableIndex=0), links="Scan>Sum Scan>Count Sum>Join Count>Join",
+    )
+    kept = Checkpoints(spark, scratch(spark, "stages"))
+    kept.compiler(compat=True).compile(plan)
+    return kept.compiler().compile(plan)["Join"]
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c0, c_mktsegment AS c1 FROM customer WHERE contains(c_mktsegment, 'UILD')")
+def json_delimited(spark: SparkSession, d: str) -> DataFrame:
+    """A plan over a delimited file, through an operator that passes rows on."""
+    path = _delimited(spark, d, "customer", ["c_custkey", "c_name", "c_mktsegment"])
+    plan = _plan(
+        _op("Scan", "LocalScanSource", tableName=path, delimiter="|", indicesToKeep=[0, 2]), _op("Pass", "PassThrough"),
+        _op("Search", "KeywordMatcher", attributeName=1, keyword="UILD"), _op("Sink", "Sink"), links="Scan>Pass Pass>Search Search>Sink",
+    )
+    return compile_workflow(spark, plan).toDF("c0", "c1")
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS c0, s_name AS c1 FROM supplier")
+def json_scan_with_host(spark: SparkSession, d: str) -> DataFrame:
+    """A scan of a file in a store that is named by its host."""
+    host, path = re.match(r"(\w+:/*[^/]*)?(/.*)", _delimited(spark, d, "supplier", ["s_suppkey", "s_name"])).groups()
+    plan = _plan(_op("Scan", "HDFSScanSource", host=host or "file://", tableName=path, delimiter="|"), _op("Sink", "Sink"), links="Scan>Sink")
+    return compile_workflow(spark, plan).toDF("c0", "c1")
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def scan_single_file(spark: SparkSession, d: str) -> DataFrame:
+    """One file of a stage that has several."""
+    path = scratch(spark, "single")
+    table(spark, d, "region").select("r_regionkey", "r_name").coalesce(1).write.parquet(path)
+    return scan_parquet(spark, spark.read.parquet(path).inputFiles()[0], [0, 1])
+
+
+@query("SELECT CAST(i AS INTEGER) AS n FROM range(1, 41) s(i)")
+def generate_delayed(spark: SparkSession, d: str) -> DataFrame:
+    """A generator that waits 2 ms before each row, from JSON."""
+    return compile_workflow(spark, _plan(_op("Generate", "Generate", limit=40, delay=2), _op("Sink", "Sink"), links="Generate>Sink"))
+
+
+@query("SELECT o_orderkey, o_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def count_breakpoint_join(spark: SparkSession, d: str) -> DataFrame:
+    """Breakpoints on the rows of a scan, which streams from the files as they lie, and of a join."""
+    plan = _plan(_scan("Customers", d, "customer", [0, 1]), _scan("Orders", d, "orders", [0, 1]), _op("Join", "HashJoin", inner="Customers", innerTableIndex=0, outerTableIndex=1), _op("Sink", "Sink"), links="Customers>Join Orders>Join Join>Sink")
+    run, half = plan_run(spark, plan, scratch(spark, "run"), files=None), max(1, table(spark, d, "orders").count() // 2)
+    run.set_breakpoint(CountBreakpoint("scanned", half, "Orders"))
+    run.set_breakpoint(CountBreakpoint("joined", half, "Join"))
+    return run.run()
+
+
+@query("SELECT count(*) AS at_pause FROM range(1, 701)")
+def count_breakpoint_join_exact(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows a join has put out at its breakpoint."""
+    plan = _plan(_scan("Customers", d, "customer", [0]), _scan("Orders", d, "orders", [0, 1]), _op("Join", "HashJoin", inner="Customers", innerTableIndex=0, outerTableIndex=1), _op("Sink", "Sink"), links="Customers>Join Orders>Join Join>Sink")
+    run = plan_run(spark, plan, scratch(spark, "run"), files=3)
+    run.set_breakpoint(CountBreakpoint("joined", 700, "Join"))
+    run.start().wait()
+    return R.count_rows(run.output("Join"), "at_pause")
+
+
+@query("SELECT o_custkey, n FROM (SELECT o_custkey, count(o_orderkey) AS n FROM orders GROUP BY 1) WHERE NOT n > 12")
+def conditional_breakpoint_groupby(spark: SparkSession, d: str) -> DataFrame:
+    """A breakpoint on the groups takes those with many rows out; they come in order still."""
+    plan = _plan(_scan("Scan", d, "orders", [0, 1]), _op("Group", "GroupBy", groupByField=1, aggregateField=0, aggregationType="Count", name="n"), _op("Sort", "Sort", targetField=1), links="Scan>Group Group>Sort")
+    run = plan_run(spark, plan, scratch(spark, "run"), files=2)
+    run.set_breakpoint(ConditionalBreakpoint("many", "n > 12", "Group"))
+    return run.run()
+
+
+@query("SELECT count(*) AS cnt FROM range(5) w(w), range(1, 20001) t(n) WHERE n % 8973 <> 0 AND n % 6462 <> 0")
+def random_pause_two_conditions(spark: SparkSession, d: str) -> DataFrame:
+    """Five producers of 1 to 20,000, a condition on each of two operators, and pauses and
+    resumes at random: 99,975 rows."""
+    plan = _plan(_op("Generate", "Generate", limit=LIMIT, numWorkers=5), _op("Pass", "PassThrough"), _op("Sink", "Sink"), links="Generate>Pass Pass>Sink")
+    run, draw = plan_run(spark, plan, scratch(spark, "run"), files=6, compat=True), random.Random(3)
+    run.set_breakpoint(ConditionalBreakpoint("cond1", "n % 8973 = 0", "Generate"))
+    run.set_breakpoint(ConditionalBreakpoint("cond2", "n % 6462 = 0", "Pass"))
+    run.start()
+    for _ in range(6):
+        run.pause() if draw.random() < 0.5 else run.resume()
+    while run.wait().value != "Completed":
+        run.resume()
+    return R.count_rows(run.result())

@@ -40,6 +40,23 @@ def scan_delimited(spark: SparkSession, path: str, delimiter: str, keep: list[in
     return out.dropna("all") if drop_empty else out
 
 
+def total_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df reads."""
+    return sum(leaf.relation().location().sizeInBytes() for leaf in file_leaves(df))
+
+
+def file_leaves(df: DataFrame) -> list:
+    """The file relations at the leaves of df's plan."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = [leaves.apply(i) for i in range(leaves.size())]
+    return [x for x in found if x.getClass().getSimpleName() == "LogicalRelation" and x.relation().getClass().getSimpleName() == "HadoopFsRelation"]
+
+
+def files_state(df: DataFrame) -> str:
+    """Names, sizes and times of the files that df reads, as one text."""
+    return "\n".join(leaf.relation().location().allFiles().mkString("\n") for leaf in file_leaves(df))
+
+
 def scan_parquet(spark: SparkSession, path: str, keep: list[Field] | None = None) -> DataFrame:
     """A Parquet file or folder; keep: the fields to read, in file order."""
     rows = spark.read.parquet(path)

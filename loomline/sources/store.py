@@ -19,6 +19,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(made)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    made, files = _path(spark, path)
+    return files.getFileStatus(made).isFile()
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     made, files = _path(spark, path)
     if not files.exists(made):

@@ -1,14 +1,18 @@
-"""Interactive control of a run: pause, resume, count and conditional breakpoints.
+"""Interactive control of a chain of steps: pause, resume, count and conditional breakpoints.
 
-The input is staged as files and read as a stream, a file to a micro-batch; the checkpoint
-of the stream remembers which batches are done. A pause ends the query, a resume starts it
-from its checkpoint. A batch that was under way may be delivered again, so all that a batch
-leaves behind is written under the batch's number, and the run's own notes are kept beside
-the checkpoint: a run goes on after the driver's process ends, too.
+The input is read as a stream of files, one to a micro-batch; the checkpoint of the stream
+remembers which batches are done. A pause ends the query, a resume starts it from its
+checkpoint. What a batch puts out is written once, under the batch's number, and counts as
+output once the run's notes say that the batch is done; so a batch that is delivered again
+counts once, and a run goes on after the driver's process ends, too.
 
-Row-by-row steps run on the stream; steps that need all rows (groups, counts, sorts) run as
-one job over the stream's output once it is complete. A pause is granted between batches and
-at the border to those steps.
+A count breakpoint is exact: rows have places in their batch, and of the batch that it falls
+into those up to the breakpoint are output until the run is resumed. Places are numbered
+within the batch's files, so a cut is a filter and moves nothing.
+
+Row-by-row steps run on the stream; what needs all rows (groups, counts, sorts) runs as one
+job over the stream's output once it is complete. A pause is granted between batches and at
+the border to that job. ``plan_run`` makes a run of such chains for a whole workflow.
 """
 
 from __future__ import annotations
@@ -24,10 +28,13 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.functions.fields import Field, field_name
 from loomline.operators.breakpoints import condition
 from loomline.sources import store
 
 Step = Callable[[DataFrame], DataFrame]
+#: Columns of a batch's files: the batch, and a row's file and place there.
+BATCH, PLACE = "loomline_batch", "loomline_place"
 
 
 class RunState(enum.Enum):
@@ -84,6 +91,7 @@ class _Notes:
     """What a run must know after a restart."""
 
     sizes: dict[str, int] = field(default_factory=dict)
+    #: By breakpoint: batch, rows of it before the cut, and the cut's file and place there.
     fired: dict[str, list[int]] = field(default_factory=dict)
     reported: list[int] = field(default_factory=list)
     done: bool = False
@@ -100,7 +108,9 @@ class WorkflowRun:
         self.timings: dict[str, float] = {}
         self._query, self._lock, self._hit = None, threading.RLock(), False
         self._notes = self._load()
-        if store.exists(spark, f"{self.root}/staged/_SUCCESS"):
+        text = store.read_text(spark, f"{self.root}/source.json")
+        self._source: dict[str, str] = json.loads(text) if text else {}
+        if self._source:
             self._to(RunState.READY)
             if self._notes.done:
                 self.state = RunState.COMPLETED
@@ -110,9 +120,28 @@ class WorkflowRun:
     def stage(self, df: DataFrame, files: int = 8) -> WorkflowRun:
         """Write the input as so many files; a batch reads one."""
         df.repartition(files).write.mode("overwrite").parquet(f"{self.root}/staged")
+        return self._from({"path": f"{self.root}/staged", "glob": "*"})
+
+    def stream_files(self, path: str) -> WorkflowRun:
+        """Read the Parquet files at path, a file or a folder, as they lie; a batch reads one."""
+        if store.is_file(self.spark, path):
+            folder, _, name = path.rpartition("/")
+            return self._from({"path": folder, "glob": name})
+        return self._from({"path": path, "glob": "*"})
+
+    def _from(self, source: dict[str, str]) -> WorkflowRun:
+        self._source = source
+        store.write_text(self.spark, f"{self.root}/source.json", json.dumps(source))
         self._to(RunState.READY)
         return self
 
+    def input_field(self, field: Field) -> str:
+        """The name of a field of the input."""
+        return field_name(self._input(), field)
+
+    def _input(self) -> DataFrame:
+        return self.spark.read.option("pathGlobFilter", self._source["glob"]).parquet(self._source["path"])
+
     def set_breakpoint(self, breakpoint_: CountBreakpoint | ConditionalBreakpoint) -> None:
         """Allowed when ready and when paused."""
         if self.state not in (RunState.READY, RunState.PAUSED):
@@ -126,7 +155,7 @@ class WorkflowRun:
             if breakpoint_.target < 1:
                 raise BreakpointError("a count breakpoint's target is at least 1")
             if breakpoint_.step not in (None, names[-1] if names else None):
-                raise BreakpointError("rows are counted on the last step before finish")
+                raise BreakpointError("a chain counts the rows of its last step")
             self.counts[breakpoint_.id] = breakpoint_
         else:
             self.conditions[breakpoint_.id] = breakpoint_
@@ -224,8 +253,7 @@ class WorkflowRun:
 
     def _launch(self) -> None:
         self._hit = False
-        staged = f"{self.root}/staged"
-        rows = self.spark.readStream.schema(self.spark.read.parquet(staged).schema).option("maxFilesPerTrigger", 1).parquet(staged)
+        rows = self.spark.readStream.schema(self._input().schema).options(maxFilesPerTrigger=1, pathGlobFilter=self._source["glob"]).parquet(self._source["path"])
         self._query = rows.writeStream.foreachBatch(self._batch).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()
 
     def _settle(self, stopped: bool = False) -> None:
@@ -239,27 +267,37 @@ class WorkflowRun:
         self._to(RunState.COMPLETED)
 
     def _finished(self) -> bool:
-        staged = len(self.spark.read.parquet(f"{self.root}/staged").inputFiles())
-        return len(self._notes.sizes) >= staged
+        return len(self._notes.sizes) >= len(self._input().inputFiles())
 
     def _rows(self, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        if store.exists(self.spark, path):
-            return self.spark.read.option("recursiveFileLookup", True).parquet(path)
-        empty = self.spark.read.parquet(f"{self.root}/staged").limit(0)
-        for step, run in self.steps:
-            if any(name == f"taken/{c.id}" and c.step == step for c in self.conditions.values()):
-                return run(empty)
-            empty = run(empty)
-        return empty
-
-    def _write(self, df: DataFrame, name: str, batch: int, part: int = 0) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch-{batch}-{part}")
+        """What lies under name: output, of batches that are done and of a batch up to the
+        last cut, or rows taken out."""
+        path, done = f"{self.root}/{name}", len(self._notes.sizes)  # batches come in order
+        cuts = [(file, place) for batch, _, file, place in self._notes.fired.values() if batch == done]
+        if not store.exists(self.spark, path) or name == "out" and not done and not cuts:
+            empty = self._input().limit(0)
+            for step, run in self.steps:
+                empty = run(empty)
+                if any(name == f"taken/{c.id}" and c.step == step for c in self.conditions.values()):
+                    break
+            return empty
+        rows = self.spark.read.parquet(path)
+        if name == "out":
+            shown = F.col(BATCH) < done
+            if cuts:
+                file, place = max(cuts)
+                shown |= (F.col(BATCH) == done) & (F.col(PLACE) <= (file << 33) + place)
+            rows = rows.filter(shown).drop(PLACE)
+        return rows.drop(BATCH)
+
+    def _write(self, df: DataFrame, name: str, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/{BATCH}={batch}")
 
     def _batch(self, rows: DataFrame, batch: int) -> None:
-        key, last = str(batch), self.steps[-1][0] if self.steps else None
-        work = f"{self.root}/work/batch-{batch}"
-        if not store.exists(self.spark, f"{work}/_SUCCESS"):
+        if str(batch) in self._notes.sizes:
+            return
+        last, out = self.steps[-1][0] if self.steps else None, f"{self.root}/out/{BATCH}={batch}"
+        if not store.exists(self.spark, f"{out}/_SUCCESS"):
             taken: list[tuple[str, DataFrame]] = []
             for name, step in self.steps or [(None, lambda df: df)]:
                 rows = step(rows)
@@ -271,40 +309,29 @@ class WorkflowRun:
             for id_, bad in taken:
                 self._write(bad, f"taken/{id_}", batch)
             # places of rows are fixed once, for a batch that is delivered again
-            rows.withColumn("place_", F.monotonically_increasing_id()).write.mode("overwrite").parquet(work)
-        held = self.spark.read.parquet(work)
-        total = held.count()
+            self._write(rows.withColumn(PLACE, F.monotonically_increasing_id()), "out", batch)
+        files = self.spark.read.parquet(out).groupBy(F.shiftright(PLACE, 33).alias("file")).agg(F.count(F.lit(1)).alias("n")).orderBy("file").collect()
+        total = sum(r.n for r in files)
         before = sum(n for b, n in self._notes.sizes.items() if int(b) < batch)
-        cuts = sorted(at for b, at in self._notes.fired.values() if b == batch)
         due = [b for b in self.counts.values() if b.id not in self._notes.fired and before < b.target <= before + total]
         if due:
             first = min(due, key=lambda b: b.target)
-            self._emit(held, batch, [*cuts, first.target - before], until=len(cuts) + 1)
-            self._notes.fired[first.id] = [batch, first.target - before]
+            left = first.target - before
+            for r in files:
+                if left <= r.n:
+                    self._notes.fired[first.id] = [batch, first.target - before, r.file, left - 1]
+                    break
+                left -= r.n
             self._stop()
-        self._emit(held, batch, cuts, until=len(cuts) + 1)
-        self._notes.sizes[key] = total
+        self._notes.sizes[str(batch)] = total
         if batch not in self._notes.reported and self._has_taken(batch):
             self._notes.reported.append(batch)
             self._stop()
         self._save()
 
-    def _emit(self, held: DataFrame, batch: int, cuts: list[int], until: int) -> None:
-        """Write the batch's rows up to the until-th of its parts, as cuts divide them."""
-        edges = [0, *cuts]
-        ends = [*cuts, None]
-        ranked = held
-        if cuts:
-            # one file's rows: a batch is small, and only a batch with a breakpoint is ranked
-            ranked = held.orderBy("place_").limit(2**31 - 1)
-        for part, (low, high) in enumerate(zip(edges[:until], ends[:until], strict=False)):
-            rows = ranked.offset(low) if low else ranked
-            rows = rows.limit(high - low) if high is not None else rows
-            self._write(rows.drop("place_"), "out", batch, part)
-
     def _has_taken(self, batch: int) -> bool:
         for b in self.conditions.values():
-            path = f"{self.root}/taken/{b.id}/batch-{batch}-0"
+            path = f"{self.root}/taken/{b.id}/{BATCH}={batch}"
             if store.exists(self.spark, path) and self.spark.read.parquet(path).limit(1).count():
                 return True
         return False

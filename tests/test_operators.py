@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from loomline.functions.fields import FieldError
@@ -8,6 +10,7 @@ from loomline.operators import relational as R
 from loomline.sources.files import scan_delimited
 from loomline.sources.generate import generate
 
+# The tuples of the operators' known cases.
 WORDS = ["Asia", "Europe", "some", "important", "keywords", "Japan", "cat", "cat boomer", "cat lover", "asia"]
 INTS = [1234, 1, 3, 5, 7832, 0, -1, 222, 4567, 0]
 TRIPLES = [("Asia", 1, "xa"), ("Europe", 2, "xa"), ("some", 3, "xb"), ("important", 4, "xc"), ("keywords", 5, "xc")]
@@ -141,3 +144,16 @@ def test_conditional_breakpoints(spark, limit, workers, first, second, left):
 def test_breakpoint_keeps_rows_it_cannot_judge(spark, rows):
     df = spark.createDataFrame([(1,), (None,)], "n int")
     assert rows(breakpoints.split(df, "n > 0")[0]) == [(None,)]
+
+
+def test_extremes_of_text(spark, rows):
+    df = spark.createDataFrame([("a", "9"), ("a", "10"), ("a", None)], "k string, v string")
+    for how, number, text in (("Max", "10.0", "9"), ("Min", "9.0", "10")):
+        assert rows(R.group_by(df, 0, 1, how, as_text=True)) == [("a", number)]
+        assert rows(R.group_by(df, 0, 1, how)) == [("a", text)]
+
+
+def test_generator_waits_before_each_row(spark, rows):
+    began = time.perf_counter()
+    assert rows(generate(spark, 30, workers=3, delay=20)) == sorted((n,) for n in range(1, 11) for _ in range(3))
+    assert time.perf_counter() - began >= 0.2

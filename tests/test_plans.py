@@ -7,6 +7,7 @@ import pytest
 from loomline import demo
 from loomline.plans import Compiler, PlanError, Workflow, compile_workflow, register
 from loomline.plans.checkpoint import Checkpoints
+from loomline.plans.workflow import Link, Op
 from loomline.sources.generate import generate
 
 
@@ -80,3 +81,35 @@ def test_checkpoint_is_used_again(spark, tmp_path, rows):
     stamps = {p: p.stat().st_mtime_ns for p in (tmp_path / "stages").rglob("*.parquet")}
     assert rows(kept.compiler().compile(flow)["Sink"]) == first
     assert stamps == {p: p.stat().st_mtime_ns for p in (tmp_path / "stages").rglob("*.parquet")}
+
+
+def test_stages_of_options_and_changed_files_are_apart(spark, tmp_path, rows):
+    for folder, last in (("a", 4), ("a", 6)):
+        path = f"{tmp_path}/{folder}.parquet"
+        spark.range(1, last).selectExpr("id AS k", "cast(id * 2 AS int) AS v").coalesce(1).write.mode("overwrite").parquet(path)
+        plan = Workflow.of(
+            [
+                Op("S", "LocalScanSource", {"tableName": path, "delimiter": "|"}),
+                Op("G", "GroupBy", {"groupByField": 0, "aggregateField": 1, "aggregationType": "Sum", "name": "s"}),
+                Op("J", "HashJoin", {"innerTableIndex": 0, "outerTableIndex": 0}),
+            ],
+            [Link("S", "G"), Link("G", "J"), Link("S", "J")],
+        )
+        kept = Checkpoints(spark, f"{tmp_path}/stages")
+        old, new = (kept.compiler(compat=c).compile(plan)["J"] for c in (True, False))
+        assert dict(old.dtypes)["s"] == "string" and dict(new.dtypes)["s"] == "double"
+        assert rows(new.select("k", "s")) == [(k, 2.0 * k) for k in range(1, last)]
+
+
+def test_compat_builds_on_the_smallest_file(spark, tmp_path):
+    spark.range(1000).selectExpr("id AS big", "id AS b2").coalesce(1).write.parquet(f"{tmp_path}/big.parquet")
+    spark.range(3).selectExpr("id AS small", "id AS s2").coalesce(1).write.parquet(f"{tmp_path}/small.parquet")
+    scan = lambda i: Op(i, "LocalScanSource", {"tableName": f"{tmp_path}/{i}.parquet", "delimiter": "|"})
+    join = Op("J", "HashJoin", {"innerTableIndex": 0, "outerTableIndex": 0})
+    for first, second in (("big", "small"), ("small", "big")):
+        plan = Workflow.of([scan("big"), scan("small"), join], [Link(first, "J"), Link(second, "J")])
+        assert compile_workflow(spark, plan, compat=True).columns == ["big", "b2", "s2"]
+    # an input that isn't a file scan isn't weighed, however small
+    few = Op("F", "Filter", {"targetField": 0, "filterType": "Less", "threshold": 1})
+    plan = Workflow.of([scan("big"), scan("small"), few, join], [Link("small", "F"), Link("F", "J"), Link("big", "J")])
+    assert compile_workflow(spark, plan, compat=True).columns == ["small", "s2", "b2"]
