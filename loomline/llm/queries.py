@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import ann_forest, lattice_lm, near_dedup, packing, piece_codec, quality_classifier, quality_rules, secret_scan, sharding, suffix_dedup
-from loomline.llm.common import crc_fold, table
+from loomline.llm.common import crc_fold, scratch_path, table
 from loomline.llm.sql import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secret_scan.find_secrets(docs).select("doc_id", F.col("secret_spans").alias("s"))
+    found = secret_scan.find_by_ledger(docs, scratch_path(spark, "ledger")).select("doc_id", F.col("secret_spans").alias("s"))
     base = F.filter("s", lambda x: x["kind_no"] < secret_scan.BASE_KINDS)
     count = lambda k: F.size(F.filter("s", lambda x: x["kind_no"] == k)).cast("long")
     return found.select(

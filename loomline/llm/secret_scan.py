@@ -5,8 +5,14 @@ blob and scan with the findings by rule version; a scan reads only blobs for whi
 version is missing and runs only the missing rules. Findings go back to all rows that hold
 the blob.
 
+Findings are few beside the rows, so rows without any don't move: a bitmap of the blobs with
+findings, MARKS bits whatever their number, is broadcast, and only rows whose blob it marks
+meet the findings in a join, which adaptive execution can split where a blob has many copies.
+
 Defined results: a null text is the empty blob, without findings; repeated rows and copies
-share one scan and each get its findings; other columns stay as they are.
+share one scan and each get its findings; other columns stay as they are, but one named like
+the findings is replaced; texts of any length are scanned whole; an empty table gives no
+rows and adds nothing to the ledger; a scan that was added to the ledger twice counts once.
 Starts and ends are code points, the end exclusive.
 """
 
@@ -17,11 +23,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from loomline.llm.common import free_name, text_of
+from loomline.llm.common import stored, text_of, whole_row
+from loomline.sources import store
 
 FOUND = "array<struct<start:int,end:int>>"
+SPANS = "array<struct<start:int,kind_no:int,end:int>>"
+#: Bits of the map of blobs with findings.
+MARKS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -126,10 +135,9 @@ def unseen_blobs(docs: DataFrame, text: str, ledger: DataFrame | None, rules: tu
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
     """The ledger at path, or None before the first scan."""
-    try:
-        return spark.read.schema(f"blob string, found map<string,{FOUND}>").parquet(path)
-    except AnalysisException:
+    if not store.exists(spark, path):
         return None
+    return spark.read.schema(f"blob string, found map<string,{FOUND}>").parquet(path)
 
 
 def update_ledger(spark: SparkSession, docs: DataFrame, path: str, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -146,18 +154,37 @@ def spans_by_blob(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFra
     placed = lambda i: lambda x: F.struct(x["start"].alias("start"), i.alias("kind_no"), x["end"].alias("end"))
     found = F.transform(keys, lambda k, i: F.transform(F.coalesce(F.col("found")[k], F.array().cast(FOUND)), placed(i)))
     hits = ledger.select("blob", F.flatten(found).alias("spans")).filter(F.size("spans") > 0)
-    return hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+
+
+def with_findings(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
+    """docs with a column secret_spans (array<struct<start,kind_no,end>>, empty if none). spans:
+    blob and spans, a row per blob with findings."""
+    spans = stored(spans, "findings")
+    bit = F.pmod(F.xxhash64("blob"), F.lit(MARKS))
+    one = F.expr("shiftleft(1L, cast(bit % 64 AS int))")
+    marks = spans.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(one).alias("bits"))
+    rows = docs.select(whole_row(docs).alias("row"), F.sha2(text_of(text), 256).alias("blob")).withColumn("bit", bit)
+    rows = rows.join(F.broadcast(marks), F.expr("bit div 64") == F.col("word"), "left").withColumn("marked", F.coalesce(F.col("bits").bitwiseAND(one) != 0, F.lit(False)))
+    none = F.array().cast(SPANS)
+    still = rows.filter("not marked").select("row", none.alias("secret_spans"))
+    moved = rows.filter("marked").select("row", "blob").join(spans, "blob", "left").select("row", F.coalesce("spans", none).alias("secret_spans"))
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "secret_spans"]
+    return still.union(moved).select(*own, "secret_spans")
 
 
 def find_secrets(docs: DataFrame, text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with a column secret_spans (array<struct<start,kind_no,end>>, empty if none)."""
+    """docs with secret_spans (see with_findings), by the ledger and a scan of what it lacks,
+    which is not added to it."""
     scanned = scan_blobs(unseen_blobs(docs, text, ledger, rules), rules)
     book = scanned if ledger is None else ledger.unionByName(scanned)
-    key = free_name(docs, "blob")
-    spans = spans_by_blob(book, rules).select(F.col("blob").alias(key), F.col("spans").alias("secret_spans"))
-    out = docs.withColumn(key, F.sha2(text_of(text), 256)).join(spans, key, "left")
-    none = F.array().cast("array<struct<start:int,kind_no:int,end:int>>")
-    return out.withColumn("secret_spans", F.coalesce("secret_spans", none)).drop(key)
+    return with_findings(docs, spans_by_blob(book, rules), text)
+
+
+def find_by_ledger(docs: DataFrame, path: str, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with secret_spans: scans what the ledger at path lacks, appends that, and joins
+    the ledger's findings to all rows."""
+    return with_findings(docs, spans_by_blob(update_ledger(docs.sparkSession, docs, path, text, rules), rules), text)
 
 
 def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
