@@ -3,9 +3,10 @@ secret redaction and packing. Each stage's result is written as Parquet and read
 the next one's documents; all but the last return the columns of documents.
 
 Defined results: rows that the rules reject go; of each group of near duplicates (a similarity of
-0.80 or more) one row stays; repeated passages are cut out of all texts that hold them, and the texts stay, empty
+0.80 or more) one row stays, whatever its id: rows with null or repeated ids aren't merged by
+them, and rows without words all stay; repeated passages are cut out of all texts that hold them, and the texts stay, empty
 if nothing else is left; secrets are replaced by a mark; n_chars follows the text. An empty
-table gives no pieces.
+table gives no pieces. Extra columns of any name come along up to the last stage.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import near_dedup, packing, quality_rules, secret_scan, suffix_dedup
-from loomline.llm.common import stored, table, text_of
+from loomline.llm.common import scratch_path, stored, table, text_of, whole_row
 from loomline.llm.queries import word_tokenizer
 
 #: No SQL: components, suffix sorting and tokenizing are beyond it; tests/llm holds run()
@@ -30,7 +31,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.select(F.struct(*docs.columns).alias("row_"), "text")
+    rows = docs.select(whole_row(docs).alias("row_"), "text")
     return quality_rules.kept_rows(quality_rules.ledger(rows, keep=("row_",))).select("row_.*")
 
 
@@ -43,7 +44,7 @@ def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secret_scan.find_secrets(docs, rules=secret_scan.WHOLE_RULES)
+    found = secret_scan.find_by_ledger(docs, scratch_path(spark, "ledger"), rules=secret_scan.WHOLE_RULES)
     return _counted(found.withColumn("text", secret_scan.redact(F.col("text"), F.col("secret_spans")))).select(*docs.columns)
 
 
