@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,6 +125,15 @@ def encode_texts(column: pa.Array, path: str, end: int = END) -> tuple[np.ndarra
     return out, offsets
 
 
+def nth_of(keys: np.ndarray) -> np.ndarray:
+    """How many equal keys stand before each."""
+    order = np.argsort(keys, kind="stable")
+    heads = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else np.zeros(0, np.int64)
+    out = np.empty(len(keys), np.uint64)
+    out[order] = np.arange(len(keys)) - np.repeat(heads, np.diff(np.append(heads, len(keys))))
+    return out
+
+
 def cut_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END, with_ids: bool = False) -> DataFrame:
     """id_col, the PIECE columns, draw (a hash that deals the piece), and ids if asked for."""
     kind = dict(docs.dtypes)[id_col]
@@ -143,10 +151,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: st
             raw = memoryview(ids.astype("<u4").view(np.uint8))
             crc = np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip((low * 4).tolist(), ((low + length) * 4).tolist(), strict=True)), np.int64, len(row))
             key = textscan.mix(crc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (start * 4099 + length).astype(np.uint64))
-            nth = pd.Series(key).groupby(key).cumcount().to_numpy().astype(np.uint64)
             owner = batch.column(0)
-            own = pd.util.hash_array(owner.cast(pa.string()).fill_null("").to_numpy(zero_copy_only=False), categorize=False) if len(owner) else np.zeros(0, np.uint64)
-            draw = textscan.mix(key + textscan.mix(nth + own[row])).view(np.int64)
+            own = np.fromiter((zlib.crc32(str(x).encode()) for x in owner.to_pylist()), np.uint64, len(owner))
+            draw = textscan.mix(key + textscan.mix(nth_of(key) + (own[row] << np.uint64(20)))).view(np.int64)
             columns = [owner.take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc), pa.array(counts[row]), pa.array(draw)]
             names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "draw"]
             if with_ids:

@@ -353,9 +353,9 @@ def cut(text: bytes, spans: np.ndarray) -> bytes:
     return b"".join(parts)
 
 
-_FOUND = "th binary, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_FOUND = "th binary, n_removed long, n_spans long, kept_sha256 string, kept string"
 _PARTS = _FOUND + ", packed binary, spans binary, bucket int, run binary, keys binary"
-_KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+_KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
 
 
 def _names(schema: str) -> list[str]:
@@ -370,7 +370,7 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def _result(text: bytes, spans: np.ndarray, with_text: bool) -> tuple:
     spans = merged(spans)
     kept = cut(text, spans)
-    return len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_text else None
+    return len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None
 
 
 def settle_equal(strings: list[tuple[bytes, bytes, int, int]]) -> tuple[list[tuple[bytes, bytes, int, int]], dict[int, list[int]]]:
@@ -563,11 +563,6 @@ def measure_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 def cut_text(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with repeated passages cut out of the text; bytes of parted characters go too."""
     found = repeats(docs, text, with_text=True).filter("n_removed > 0")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textscan.sliced(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()], pa.string())], ["th", "left"])
-
-    short = found.select("th", "kept").mapInArrow(whole, "th binary, left string")
+    short = found.select("th", F.col("kept").alias("left"))
     out = docs.select(whole_row(docs).alias("row"), text_key(text).alias("th")).join(short, "th", "left")
     return out.select(*[F.coalesce("left", F.col("row")[c]).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
