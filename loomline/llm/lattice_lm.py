@@ -14,12 +14,15 @@ sent to a chunk once, whatever the number of its uses.
 
 Defined results: null and empty texts are an end alone; characters without a piece are
 written in byte pieces; repeated rows count each time; a table without training rows gives
-every token the same smoothed base probability and the vocabulary's own piece scores.
+every token the same smoothed base probability and the vocabulary's own piece scores; an
+empty table gives no rows; other columns aren't read. A very long text is a chunk of its own,
+of its distinct words; a word of any length is summed over all its segmentations.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +35,7 @@ from loomline.llm import textscan
 from loomline.llm.common import stored
 from loomline.llm.pieces import SPACE, load, piece_table
 
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 ROUNDS = 2
 #: Code points above which a word is summed on its own.
 LONG = 64
@@ -135,23 +138,28 @@ def expected(edges: Edges, weights: list[np.ndarray], alpha: np.ndarray, uses: n
 
 
 def long_word(word: str, logs: np.ndarray, path: str, uses: float = 0, into: np.ndarray | None = None) -> float:
-    """Log probability of one long word; its expected pieces are added to into."""
+    """Log probability of one long word; its expected pieces are added to into. Two numbers
+    are kept for each code point, edges are found again on the way back."""
     v, text = load(path), SPACE + word
     ids, n, inf = v.ids, len(text), -math.inf
-    steps: list[list[tuple[int, int, float]]] = []
-    alpha = [0.0] + [inf] * n
-    for j in range(n):
+
+    def edges(j: int) -> list[tuple[int, int, float]]:
         own = [(k, i, float(logs[i])) for k in range(1, min(v.longest, n - j) + 1) if (i := ids.get(text[j : j + k], -1)) >= 0]
         if not own or own[0][0] != 1:
             own.insert(0, (1, -1, float(logs[_char_bytes(path, ord(text[j]))].sum())))
-        steps.append(own)
-        for k, _, w in own:
+        return own
+
+    alpha = array("d", [inf]) * (n + 1)
+    alpha[0] = 0.0
+    for j in range(n):
+        for k, _, w in edges(j):
             x, y = alpha[j + k], alpha[j] + w
             alpha[j + k] = y if x == inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
     if into is not None:
-        beta = [inf] * n + [0.0]
+        beta = array("d", [inf]) * (n + 1)
+        beta[n] = 0.0
         for j in range(n - 1, -1, -1):
-            for k, i, w in steps[j]:
+            for k, i, w in edges(j):
                 y = w + beta[j + k]
                 x = beta[j]
                 beta[j] = y if x == inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))

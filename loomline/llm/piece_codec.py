@@ -10,7 +10,11 @@ segmentation that the model's merges make, id for id.
 Text is encoded as the model's library does with its identity normalizer: a space becomes
 the mark, one mark is put in front, characters without a piece become byte pieces.
 Defined results: a null or empty text has no ids and decodes to the empty text; a mark in
-the text itself decodes to a space; unknown ids decode to nothing, broken bytes to U+FFFD.
+the text itself decodes to a space; unknown ids decode to nothing, broken bytes to U+FFFD;
+repeated rows are coded each on its own; an empty table gives no rows; other columns aren't
+read. Very long texts are coded in blocks of words. A word without spaces of any length falls
+into the parts that no piece spans; time grows with its length, and with that of its longest
+part a step of about 0.1 ms for each character.
 """
 
 from __future__ import annotations
@@ -202,18 +206,22 @@ class Codec:
         bare[starts + sizes] = False
         lost = np.flatnonzero(bare)
         begin, piece, length = np.concatenate([begin, lost]), np.concatenate([piece, -2 - codes[lost]]), np.concatenate([length, np.ones(len(lost), np.int64)])
-        row = np.searchsorted(starts, begin, "right") - 1
         end = begin + length
-        step = end - starts[row]
+        # no merge crosses a place that no piece spans: words fall into parts there
+        spans = np.bincount(begin + 1, minlength=len(codes) + 2) - np.bincount(end, minlength=len(codes) + 2)
+        parts = np.flatnonzero(np.cumsum(spans)[: len(codes)] == 0)
+        parts = np.union1d(parts, starts)
+        fresh = np.zeros(len(codes) + 1, bool)
+        fresh[parts] = True
+        step = end - parts[np.searchsorted(parts, begin, "right") - 1]
         by_end = np.argsort(step, kind="stable")
         begin, piece, end, step = begin[by_end], piece[by_end], end[by_end], step[by_end]
         # last[p]: the piece that ends the prefix before position p; NONE where there is none
         last = np.full(len(codes) + 1, int(NONE), np.int64)
-        last[starts] = START
         edges = np.concatenate([[0], np.flatnonzero(np.diff(step)) + 1, [len(step)]])
         for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             b, p, e = begin[i:j], piece[i:j], end[i:j]
-            before = last[b]
+            before = np.where(fresh[b], START, last[b])
             fits = np.flatnonzero(before != NONE)
             fits = fits[self.merges.beside(before[fits], p[fits])]
             last[e[fits]] = p[fits]

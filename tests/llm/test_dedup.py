@@ -83,6 +83,26 @@ def test_unrelated_documents_under_one_id_all_stay(docs, prose):
     assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("None", one), ("None", two), ("7", three), ("7", four), ("None", ""), ("None", "")])
 
 
+def test_names_that_clash_and_words_that_hashes_confuse(docs, prose):
+    from test_text_models import alike
+
+    one, two = alike()
+    rows = docs([(1, one), (2, two), (3, two), (4, prose(30))]).withColumnRenamed("th", "th_").withColumnRenamed("kept", "id_").withColumnRenamed("blob", "th__").withColumnRenamed("lang", "row")
+    got = N.drop_near_duplicates(rows)
+    assert got.columns == rows.columns and sorted(r.doc_id for r in got.collect()) == [1, 2, 4]
+    assert {r.doc_id: r.component_id for r in N.near_duplicates(rows).collect()} == {1: 1, 2: 2, 3: 2, 4: 4}
+
+
+def test_groups_do_not_depend_on_batches(docs, prose, spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 4)
+    pairs = near_copies(prose, 5)
+    want = expected_components(pairs)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(docs(pairs)).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
 def test_sketch_bound_follows_the_threshold():
     assert N.most_bits(85) == 84 and N.most_bits(80) == 98
 

@@ -84,3 +84,19 @@ def test_secrets_stage_redacts_whole_private_keys(spark, docs):
     plain = docs(list(enumerate(cases))).drop("blob", "th", "kept")
     got = {r.doc_id: r.text for r in corpus_pipeline.secrets_stage(spark, plain, "").collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_stages_take_odd_rows_and_very_long_texts(spark, docs, prose):
+    long = " ".join(prose(1000) for _ in range(30))
+    one, two = prose(60), prose(60)
+    pairs = [(None, one), (None, two), (5, one + " x"), (5, long), (6, long), (7, None), (8, ""), (9, "same " * 3000), (10, two), (10, two)]
+    now = docs(pairs).withColumnRenamed("kept", "row_").withColumnRenamed("th", "secret_spans").withColumnRenamed("blob", "n_words")
+    columns = now.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stored(stage(spark, now, ""), "odd")
+        assert now.columns == columns
+    texts = sorted(r.text for r in now.collect())
+    assert len(texts) == 3 and long in texts and two in texts
+    pieces = corpus_pipeline.STAGES[-1][1](spark, now, "").collect()
+    ids, _ = packing.encode_texts(pa.array(texts), word_tokenizer())
+    assert sum(r.length for r in pieces) == len(ids)

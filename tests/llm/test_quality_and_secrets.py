@@ -29,6 +29,14 @@ def test_measures(docs, prose):
     assert Q.ledger(docs(cases).limit(0)).count() == 0
 
 
+def test_very_long_texts_and_clashing_names(docs, prose):
+    long = " ".join(prose(1000) for _ in range(60))
+    rows = docs([(1, long), (2, long + " " + long)]).withColumnRenamed("source", "t_").withColumnRenamed("lang", "n_words")
+    book = Q.ledger(rows, keep=("doc_id", "t_", "n_words")).collect()
+    assert {r.doc_id: (r.n_words, r.n_repeat_words) for r in book} == {1: (60_000, measured(long)[4]), 2: (120_000, 120_000)}
+    assert all(r.t_ == "s" for r in book)
+
+
 def test_policies_and_ablations(docs, prose):
     book = Q.ledger(docs([*CASES, (9, prose(50)), (10, prose(80))]))
     kept = {r.doc_id: r.kept for r in Q.apply_policy(book).collect()}
@@ -72,6 +80,30 @@ def test_base_spans(docs):
     assert S.find_secrets(docs([])).count() == 0
 
 
+def test_a_second_scan_reads_no_seen_blob(docs, spark, tmp_path):
+    path, text = str(tmp_path / "ledger"), 'secret = "abcdef123456"'
+    first = S.find_by_ledger(docs([(1, text), (2, text), (3, "plain")]), path).collect()
+    assert {r.doc_id: len(r.secret_spans) for r in first} == {1: 1, 2: 1, 3: 0}
+    size = spark.read.parquet(path).count()
+    assert size == 2
+    # a rule that would find something, had it been run again: the ledger's own answer stands
+    spark.read.parquet(path).selectExpr("blob", "transform_values(found, (k, v) -> array(struct(0 AS start, 1 AS end))) AS found").write.parquet(str(tmp_path / "other"))
+    again = S.find_by_ledger(docs([(7, "plain"), (8, text), (9, "new text")]), str(tmp_path / "other")).collect()
+    assert {r.doc_id: len(r.secret_spans) for r in again} == {7: len(S.RULES), 8: len(S.RULES), 9: 0}
+    assert spark.read.parquet(str(tmp_path / "other")).count() == size + 1
+
+
+def test_findings_of_very_long_texts_and_names_that_clash(docs, spark, prose):
+    long = " ".join(prose(1000) for _ in range(40)) + " token:abcdef123456 " + prose(1000)
+    rows = docs([(1, long), (2, None), (3, "x")] * 2).withColumnRenamed("lang", "secret_spans").withColumnRenamed("th", "bit").withColumnRenamed("kept", "row")
+    got = S.find_secrets(rows).collect()
+    at = long.index("token:")
+    assert sorted((r.doc_id, [(s.start, s.end) for s in r.secret_spans]) for r in got) == sorted([(1, [(at, at + 18)]), (2, []), (3, [])] * 2)
+    assert sorted(got[0].asDict()) == sorted(rows.columns)
+    doubled = S.scan_blobs(S.unseen_blobs(rows, "text", None))
+    assert [len(r.spans) for r in S.spans_by_blob(doubled.union(doubled)).collect()] == [1]
+
+
 def test_ledger_is_incremental(docs, spark, tmp_path):
     path = str(tmp_path / "ledger")
     old = S.RULES[:2]

@@ -32,6 +32,49 @@ def test_word_blocks_see_every_word_once():
         assert got == [(i, w) for i, t in enumerate(texts) for w in (t or "").split()]
 
 
+def alike():
+    """Two words of 1024 letters that polynomial hashes modulo 2^64 can't tell apart."""
+    s = "a"
+    for _ in range(10):
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_confuse(docs):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    one, two = alike()
+    data, at = T.buffers(pa.array([one, two]))
+    sums = T.rolling(data)
+    assert len(set(T.span_hash(sums, at[:-1], at[1:]).tolist())) == 1
+    texts = [one, two, f"x {one} {two} y", f"{two} {one}"]
+    tokenizer = Tokenizer.from_file(word_tokenizer())
+    ids, at = K.encode_texts(pa.array(texts), word_tokenizer())
+    assert [ids[at[i] : at[i + 1] - 1].tolist() for i in range(4)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_vocabulary())
+    ids, at = C.codec(piece_vocabulary()).encode(pa.array(texts))
+    assert [ids[at[i] : at[i + 1]].tolist() for i in range(4)] == [library.encode(t) for t in texts]
+    rows = L.score_texts(docs([(0, one), (1, two), (2, one)]), piece_vocabulary(), F.col("doc_id") == 0).collect()
+    assert {r.doc_id: r.n_known for r in rows} == {0: 2, 1: 1, 2: 2}
+
+
+def test_memo_tells_units_of_one_hash_apart():
+    made = []
+
+    def make(places):
+        made.append(places.tolist())
+        counts = two[places].astype(np.int64)
+        return np.repeat(two[places], counts).astype(np.int32), counts
+
+    for keys, checks in (([5, 5, 7, 5], [1, 2, 3, 1]), ([5, 7], [1, 3]), ([5, 7], [2, 3]), ([5, 7], [1, 3])):
+        one, two = np.array(keys, np.uint64), np.array(checks, np.uint64)
+        memo = T.Memo(10, np.int32) if len(keys) == 4 else memo
+        ids, counts = memo.get(one, two, make)
+        assert counts.tolist() == checks and ids.tolist() == [c for c in checks for _ in range(c)]
+    assert len(made) == 3  # the last units were remembered
+
+
 def test_packing_ids_are_the_tokenizers(prose):
     from tokenizers import Tokenizer
 
@@ -94,6 +137,19 @@ def test_piece_codec_is_the_librarys(spark, docs, prose):
     assert C.encode(docs([]), piece_vocabulary()).count() == 0
 
 
+def test_long_words_fall_into_parts(prose):
+    import random
+
+    import sentencepiece
+
+    draw = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    texts = ["".join(draw.choice(letters) for _ in range(20_000)), "".join(chr(draw.randint(0x4E00, 0x9FA0)) for _ in range(20_000)), prose(2000).replace(" ", ""), "ab" * 700]
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_vocabulary())
+    ids, at = C.codec(piece_vocabulary()).encode(pa.array(texts))
+    assert [ids[at[i] : at[i + 1]].tolist() for i in range(4)] == [library.encode(t) for t in texts]
+
+
 def test_suffix_array_and_occurrences():
     codes = np.array([ord(c) for c in "banana\0bandana\0"], np.int64)
     index = C.SuffixArray(codes, 16)
@@ -167,6 +223,62 @@ def test_classifier(docs, spark, prose):
     assert B.classify(docs([]), labels, ~held).count() == 0
 
 
+def brute_uses(words, logs, v):
+    """Expected uses of each piece over all ways to write the words, one way at a time."""
+    out = np.zeros(len(logs))
+    for word in words:
+        text, ways = "▁" + word, []
+
+        def go(at, used, text=text, ways=ways):
+            if at == len(text):
+                ways.append(used)
+                return
+            own = [(n, [i]) for n in range(1, v.longest + 1) if at + n <= len(text) and (i := v.ids.get(text[at : at + n])) is not None]
+            if not own or own[0][0] != 1:
+                own.append((1, v.byte_ids[list(text[at].encode())].tolist()))
+            for n, pieces in own:
+                go(at + n, [*used, *pieces])
+
+        go(0, [])
+        weights = np.exp([logs[w].sum() for w in ways])
+        for way, share in zip(ways, weights / weights.sum(), strict=True):
+            np.add.at(out, way, share)
+    return out
+
+
+def test_scores_by_brute_force(docs):
+    path = piece_vocabulary()
+    v, train = L.load(path), ["the cat the été", "cat sat", ""]
+    held = ["the dog", "日 sat", None]
+    counts = collections.Counter(w for t in train for w in t.split())
+    logs = L.first_log_probs(path)
+    usable = np.isfinite(logs)
+    for _ in range(L.ROUNDS):
+        got = brute_uses(sorted(counts), logs, v)
+        got[-1] = 1
+        got[usable] += L.PRIOR
+        with np.errstate(divide="ignore"):
+            logs = np.where(usable, np.log(got / got[usable].sum()), -np.inf)
+    words, ends = sum(counts.values()), len(train)
+
+    def score(text):
+        total = math.log10(ends / (words + ends))
+        for w in (text or "").split():
+            pieces = math.exp(all_ways(w, logs, v))
+            p = max(counts[w] - L.DISCOUNT, 0) / words + L.DISCOUNT * len(counts) / words * pieces
+            total += math.log10(words / (words + ends) * p)
+        return total
+
+    rows = L.score_texts(docs([*enumerate(train), *enumerate(held, 10)]), path, F.col("doc_id") < 10).collect()
+    assert {r.doc_id: round(r.score, 6) for r in rows} == {i: round(score(t), 6) for i, t in [*enumerate(train), *enumerate(held, 10)]}
+
+
+def test_very_long_texts_are_scored(docs, prose):
+    long = " ".join(prose(1000) for _ in range(40)) + " " + "x" * 30_000
+    rows = {r.doc_id: r for r in L.score_texts(docs([(1, long), (2, long), (3, "a")]), piece_vocabulary(), F.col("doc_id") < 3).collect()}
+    assert rows[1].n_tokens == 40_002 == rows[1].n_known and rows[1].score == rows[2].score < -30_000
+
+
 def test_ranking_orders_pairs():
     x = np.random.default_rng(0).normal(size=(400, 3))
     liked = x @ [2.0, -1.0, 0.0] > 0
