@@ -12,7 +12,7 @@ once holds no repeated window. What repeats is told by the bytes, in sorted orde
    many texts share costs a row a task. Equal texts are known by 128 bits and lend their
    anchors once.
 2. Every repeated anchor becomes a suffix that starts there, with the bytes before it. A task
-   cuts its suffixes by range at splitters (from a bounded sample of the anchors), sorts each
+   cuts its suffixes by range at splitters (anchors of a bounded sample of texts), sorts each
    part, settles suffixes that are equal with all before them and keeps one of those, drops
    the prefix that each shares with the one before (front coding), and sends these runs on.
 3. A loser tree merges the runs of a range. It holds for each run the prefix shared with the
@@ -50,9 +50,11 @@ SEGMENT = 1 << 19
 #: Bytes of suffixes that a task sorts at a time, and that a range is to hold.
 SORTED = 16 << 20
 RANGE = 32 << 20
-#: Most anchors that splitters are taken from; each stands for one in 1 << SAMPLED of all hashes.
-SAMPLE = 1 << 16
-SAMPLED = 6
+#: About how many texts and at most how many anchors splitters are taken from. They only
+#: balance the ranges.
+SAMPLE_TEXTS, SAMPLE = 4096, 1 << 16
+#: Bytes of suffixes for each byte of text, if all of them repeat.
+SPREAD = 8
 #: Suffixes that are looked at together at least, unless a range has fewer.
 TOGETHER = 1 << 16
 #: Hashes and texts that a task remembers to have sent.
@@ -115,8 +117,7 @@ def _segments(at: np.ndarray, span: int) -> Iterator[tuple[int, int, int, int]]:
 
 def text_anchors(docs: DataFrame) -> DataFrame:
     """docs: th, text. h (hash of the anchor), th, at: the first window start << 18, the anchor's
-    distance from it << 10, the number of further windows << 2, and the kind; and gram, the
-    anchor, for a share of the hashes.
+    distance from it << 10, the number of further windows << 2, and the kind.
 
     Of each hash a task sends one row that needs a decision: ONCE, or TWICE if it has met it
     again. Further rows of a hash that it has told are SURE to repeat. Copies of a text it has
@@ -138,12 +139,12 @@ def text_anchors(docs: DataFrame) -> DataFrame:
                 edges = np.clip(at[lo : hi + 1], start, stop) - start
                 text, first, last, place, h = anchors(data[start:stop], edges)
                 packed = ((first + start - at[lo + text]) << 16) | ((place - first) << 8) | (last - first)
-                parts.append((h, lo + text, packed, place + start))
+                parts.append((h, lo + text, packed))
             if not parts:
                 continue
-            h, text, packed, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            h, text, packed = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((text, h))
-            h, text, packed, place = h[order], text[order], packed[order], place[order]
+            h, text, packed = h[order], text[order], packed[order]
             new = np.ones(len(h), bool)
             new[1:] = h[1:] != h[:-1]
             heads = np.flatnonzero(new)
@@ -154,19 +155,14 @@ def text_anchors(docs: DataFrame) -> DataFrame:
             kind[heads] = np.where(known, SURE, np.where(again, TWICE, ONCE))
             more = h[heads][again & ~known]
             told = np.sort(np.concatenate([told, more])) if len(told) + len(more) < TOLD else more
-            shown = np.flatnonzero((kind != SURE) & (h & np.uint64((1 << SAMPLED) - 1) == 0))
-            raw = memoryview(data)
-            grams = pa.array([*(bytes(raw[a : a + GRAM]) for a in place[shown].tolist()), None], pa.binary())
-            pick = np.full(len(h), len(shown))
-            pick[shown] = np.arange(len(shown))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), keys.take(pa.array(text)), pa.array((packed << 2) | kind), grams.take(pa.array(pick))], ["h", "th", "at", "gram"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), keys.take(pa.array(text)), pa.array((packed << 2) | kind)], ["h", "th", "at"])
 
-    return docs.mapInArrow(run, "h long, th binary, at long, gram binary")
+    return docs.mapInArrow(run, "h long, th binary, at long")
 
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """h, th, at (without the kind) and gram of the anchors whose hash occurs again, in another
-    text or another time in its own. Rows arrive in order of h, th and at; a batch keeps back
+    """h, th and at (without the kind) of the anchors whose hash occurs again, in another text
+    or another time in its own. Rows arrive in order of h, th and at; a batch keeps back
     the rows of its last hash, a few of each task at most."""
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
@@ -202,7 +198,7 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield settle(held)
 
-    return rows.mapInArrow(run, "h long, th binary, at long, gram binary")
+    return rows.mapInArrow(run, "h long, th binary, at long")
 
 
 def lcp_from(a: bytes, b: bytes, start: int) -> int:
@@ -499,15 +495,24 @@ def _merged_spans(runs: DataFrame) -> DataFrame:
     return runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "th binary, spans binary")
 
 
-def _splitters(marks: DataFrame, ranges: int) -> list[bytes]:
-    """Up to ranges - 1 anchors that part the sampled ones evenly; at most about SAMPLE of
-    those reach the driver, whatever the input."""
-    shown = marks.filter("gram is not null").select("h", "gram")
-    share = 1 << 20
-    if (n := shown.count()) > SAMPLE:
-        share = max(1, (share * SAMPLE) // n)
-    grams = sorted(r.gram for r in shown.filter((F.shiftright("h", SAMPLED).bitwiseAND((1 << 20) - 1)) < share).select("gram").collect())
-    return sorted({bytes(grams[len(grams) * k // ranges]) for k in range(1, ranges)}) if grams else []
+def _splitters(plain: DataFrame, parallel: int) -> list[bytes]:
+    """Anchors of a sample of the texts that part the suffixes into even ranges of about RANGE
+    bytes, even if all of them repeat."""
+    texts, size = plain.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    ranges = max(parallel, -(-size * SPREAD // RANGE))
+    share = F.pmod(F.xxhash64("th"), F.lit(1 << 40)) < int((1 << 40) * min(1, SAMPLE_TEXTS / max(texts, 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textscan.sliced(batches):
+            data, at = textscan.buffers(batch.column(0))
+            for lo, hi, start, stop in _segments(at, SPAN):
+                part = data[start:stop]
+                *_, place, h = anchors(part, np.clip(at[lo : hi + 1], start, stop) - start)
+                place = place[h & np.uint64(7) == 0]
+                yield pa.RecordBatch.from_arrays([pa.array([part[a : a + GRAM].tobytes() for a in place.tolist()], pa.binary())], ["gram"])
+
+    grams = sorted(plain.filter(share).select("text").mapInArrow(run, "gram binary").limit(SAMPLE).toArrow()["gram"].to_pylist())
+    return sorted({grams[len(grams) * k // ranges] for k in range(1, ranges)}) if grams else []
 
 
 def repeats(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataFrame:
@@ -517,9 +522,8 @@ def repeats(docs: DataFrame, text: str = "text", with_text: bool = False) -> Dat
     plain = docs.select(text_key(text).alias("th"), text_of(text).alias("text")).filter(F.octet_length("text") >= SPAN)
     deal = F.when(F.col("at").bitwiseAND(3) == SURE, F.xxhash64("th", "at")).otherwise(F.col("h"))
     dealt = text_anchors(plain).repartition(deal).sortWithinPartitions("h", "th", "at")
-    marks = stored(repeated_anchors(dealt), "anchors")
-    splitters = _splitters(marks, max(parallel, -(-marks.count() * 2 * SPAN // RANGE)))
-    places = marks.groupBy("th").agg(F.collect_set("at").alias("places"))
+    splitters = _splitters(plain, parallel)
+    places = repeated_anchors(dealt).groupBy("th").agg(F.collect_set("at").alias("places"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdCompressor(1)

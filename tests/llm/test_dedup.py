@@ -184,7 +184,7 @@ def test_repeated_anchors_do_not_depend_on_batches(spark):
     want = {(1, 10, 0), (1, 11, 0), (3, 13, 5), (3, 14, 9), (4, 15, 7), (6, 17, 1)}
     for size in ("1", "2", "3", "100"):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
-        made = spark.createDataFrame([(h, k, at << 2 | kind, None) for h, k, at, kind in rows], "h long, th binary, at long, gram binary").coalesce(1)
+        made = spark.createDataFrame([(h, k, at << 2 | kind) for h, k, at, kind in rows], "h long, th binary, at long").coalesce(1)
         got = [(r.h, r.th[0], r.at) for r in X.repeated_anchors(made.sortWithinPartitions("h", "th", "at")).collect()]
         assert len(got) == len(want) and set(got) == want
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
