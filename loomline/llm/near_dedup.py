@@ -326,9 +326,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     drawn = stored(sketches(docs, id_col, text), "sketches")
     roots = links(docs, drawn, text, least)
     own = drawn.filter("cls is not null").groupBy("cls").agg(F.min(id_col).alias("low"))
-    named = own.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    label = named.select("cls", "root").join(lowest, "root").select("cls", "root", "component_id")
+    named = own.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    linked = named.filter("root is not null")
+    # written, so that a join with a component of many classes can be split
+    lowest = stored(linked.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
+    alone = named.filter("root is null").select("cls", F.col("cls").alias("root"), F.col("low").alias("component_id"))
+    label = linked.join(lowest, "root").select("cls", "root", "component_id").union(alone)
     out = drawn.select(id_col, "th", "n_shingles", "cls").join(label, "cls", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", id_col))
     return out.select(id_col, "th", "n_shingles", "component_id", F.equal_null(F.col(id_col), F.col("component_id")).alias("kept"), "root")
