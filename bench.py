@@ -15,6 +15,39 @@ HEADLINE = (
 RUNS = 3
 
 
+def control(spark: SparkSession, sf_dir: str) -> dict[str, float]:
+    """Seconds from a pause's request until it is granted, of W3 as a run, and what a count
+    breakpoint half-way and the resume after it add to that run."""
+    from loomline import demo
+    from loomline.sources.store import scratch
+    from loomline.streaming import CountBreakpoint
+    from loomline.streaming.plan_run import plan_run
+
+    def ready():  # noqa: ANN202
+        return plan_run(spark, demo.plans(sf_dir)["w3"], scratch(spark, "bench"))
+
+    def timed(run) -> float:  # noqa: ANN001
+        began = time.perf_counter()
+        run.run().write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    pauses, plain, stopped = [], [], []
+    half = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 2
+    for _ in range(RUNS + 1):
+        plain.append(timed(ready()))
+        marked = ready()
+        marked.set_breakpoint(CountBreakpoint("half", half, "Filter"))
+        stopped.append(timed(marked))
+        paused = ready().start()
+        time.sleep(plain[-1] / 3)
+        began = time.perf_counter()
+        paused.pause()
+        pauses.append(time.perf_counter() - began)
+        timed(paused)
+    middle = lambda x: sorted(x[1:])[RUNS // 2]
+    return {"pause_latency": round(middle(pauses), 3), "run_w3": round(middle(plain), 3), "breakpoint_and_resume_overhead": round(middle(stopped) - middle(plain), 3)}
+
+
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (
@@ -34,7 +67,7 @@ def main() -> None:
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - began)
         took[name] = round(sorted(times[1:])[RUNS // 2], 3)
-    print(json.dumps({"metric": "headline queries, median of 3 warm runs, summed", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf_dir.rsplit("sf", 1)[-1]}))
+    print(json.dumps({"metric": "headline queries, median of 3 warm runs, summed", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "control": control(spark, sf_dir), "sf": sf_dir.rsplit("sf", 1)[-1]}))
 
 
 if __name__ == "__main__":
