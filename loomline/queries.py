@@ -512,3 +512,24 @@ def random_pause_two_conditions(spark: SparkSession, d: str) -> DataFrame:
     while run.wait().value != "Completed":
         run.resume()
     return R.count_rows(run.result())
+
+
+@query("SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity < 5 UNION ALL SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45")
+def json_fan_out_and_in(spark: SparkSession, d: str) -> DataFrame:
+    """One scan read by two filters, whose rows meet again at a sink."""
+    plan = _plan(
+        _scan("Scan", d, "lineitem", [0, 4]), _op("Few", "Filter", targetField=1, filterType="Less", threshold=5.0),
+        _op("Many", "Filter", targetField=1, filterType="Greater", threshold=45.0), _op("Sink", "Sink"), links="Scan>Few Scan>Many Few>Sink Many>Sink",
+    )
+    return compile_workflow(spark, plan)
+
+
+@query("SELECT key, n_name FROM (SELECT s_suppkey AS key, s_nationkey AS n FROM supplier UNION ALL SELECT c_custkey, c_nationkey FROM customer) JOIN nation ON n = n_nationkey")
+def json_join_three_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """Two inputs probe one that is built."""
+    plan = _plan(
+        _scan("Nations", d, "nation", [0, 1]), _scan("Suppliers", d, "supplier", [0, 2]), _scan("Customers", d, "customer", [0, 2]),
+        _op("Join", "HashJoin", inner="Nations", innerTableIndex=0, outerTableIndex=1), _op("Keep", "Projection", targetFields=[0, 2]),
+        links="Nations>Join Suppliers>Join Customers>Join Join>Keep",
+    )
+    return compile_workflow(spark, plan).toDF("key", "n_name")

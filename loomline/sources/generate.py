@@ -23,9 +23,3 @@ def generate(spark: SparkSession, limit: int, workers: int | None = None, name:
         slept = F.reflect(F.lit("java.lang.Thread"), F.lit("sleep"), F.lit(delay).cast("long") + F.col(name) * 0)
         rows = rows.filter(slept == "null")
     return rows
-
-
-def generate_stream(spark: SparkSession, rows_per_second: int, name: str = "n") -> DataFrame:
-    """An endless stream of numbers from 1, so many a second."""
-    rows = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
-    return rows.select((F.col("value") + 1).alias(name))
