@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,7 @@ from loomline.sources import store
 #: The characters that separate words, and the pattern of a run of them.
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
+_made: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +52,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     Only where the session names none and runs on one machine, as in tests, a temporary
     folder is set; on a cluster that would be another one on each machine.
     """
-    return store.scratch(spark, name)
+    path = store.scratch(spark, name)
+    if (paths := _made.get()) is not None:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch_paths() -> Iterator[list[str]]:
+    """The scratch paths given out meanwhile, in order, for a caller that knows when to remove them."""
+    token = _made.set(made := [])
+    try:
+        yield made
+    finally:
+        _made.reset(token)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
