@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import near_dedup, packing, quality_rules, secret_scan, suffix_dedup
-from loomline.llm.common import scratch_path, stored, table, text_of, whole_row
+from loomline.llm.common import scratch_path, scratch_paths, stored, table, text_of, whole_row
 from loomline.llm.queries import word_tokenizer
+from loomline.sources import store
 
 #: No SQL: components, suffix sorting and tokenizing are beyond it; tests/llm holds run()
 #: against a brute-force version.
@@ -62,8 +63,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows for the documents of sf_dir. What a stage has written on the way
+    is removed once its result is."""
+    docs, old = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch_paths() as made:
+            docs = stored(stage(spark, docs, sf_dir), name)
+        for path in (*old, *made[:-1]):
+            store.remove(spark, path)
+        old = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
