@@ -249,7 +249,7 @@ def usable(vectors: DataFrame, is_query: Column, id_col: str, vector: str) -> Da
 
 
 def _drawn(rows: DataFrame, key: Column, n: int, most: int) -> DataFrame:
-    """Some of the rows: those of least hash, about `most` of n, and no more than 3 * most."""
+    """Some of the rows: those of least hash, about `most` of n."""
     if n <= most:
         return rows
     return rows.filter(F.pmod(key, F.lit(1 << 40)) < int((1 << 40) * most / n))

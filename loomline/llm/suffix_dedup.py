@@ -11,6 +11,10 @@ once holds no repeated window. What repeats is told by the bytes, in sorted orde
    whose hash is known to repeat, need no decision and are dealt evenly. So a passage that
    many texts share costs a row a task. Equal texts are known by 128 bits and lend their
    anchors once.
+   An anchor that many texts hold, in different contexts, is parted: strings of SPAN - PARTED
+   + 1 bytes stand in for it, each for PARTED distances of windows. Those within the passage
+   that the texts share are the same in all of them and settle early; those that reach into
+   the contexts occur once, but for a few at its edges, which differ in PARTED - 1 bytes.
 2. Every repeated anchor becomes a suffix that starts there, with the bytes before it. A task
    cuts its suffixes by range at splitters (anchors of a bounded sample of texts), sorts each
    part, settles suffixes that are equal with all before them and keeps one of those, drops
@@ -53,6 +57,9 @@ RANGE = 32 << 20
 #: About how many texts and at most how many anchors splitters are taken from. They only
 #: balance the ranges.
 SAMPLE_TEXTS, SAMPLE = 4096, 1 << 16
+#: An anchor that 1 / HOT of the sampled texts, and so many, hold is parted.
+HOT, HOT_TEXTS, PARTED = 64, 64, 8
+NONE = np.zeros(0, np.uint64)
 #: Bytes of suffixes for each byte of text, if all of them repeat.
 SPREAD = 8
 #: Suffixes that are looked at together at least, unless a range has fewer.
@@ -73,9 +80,12 @@ def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(part: np.ndarray, edges: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def anchors(part: np.ndarray, edges: np.ndarray, span: int = SPAN, gram: int = GRAM, hot: np.ndarray = NONE) -> tuple[np.ndarray, ...]:
     """Of the texts part[edges[i]:edges[i + 1]]: text number, first and last window start, and
-    place of each anchor, and its hash."""
+    place of each anchor, and its hash. hot: hashes, in order, of anchors that are parted.
+
+    The windows of a hot anchor are taken PARTED distances at a time; those that start so far
+    before it share all but a few of their bytes, and these stand in for the anchor."""
     width = span - gram + 1
     none = np.zeros(0, np.int64)
     if len(part) < span:
@@ -93,7 +103,21 @@ def anchors(part: np.ndarray, edges: np.ndarray, span: int = SPAN, gram: int = G
     last[:-1] &= ~same
     first, last = np.flatnonzero(first), np.flatnonzero(last)
     place = place[first]
-    return text[first], first, last, place, hashes[place]
+    text, h = text[first], hashes[place]
+    heat = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h) if len(hot) else none
+    if not len(heat):
+        return text, first, last, place, h
+    least, most = (place - last)[heat], (place - first)[heat]
+    count = most // PARTED - least // PARTED + 1
+    block = textscan.ranges(least // PARTED, count) * PARTED
+    own = np.repeat(heat, count)
+    least, most = np.maximum(np.repeat(least, count), block), np.minimum(np.repeat(most, count), block + PARTED - 1)
+    start = place[own] - block
+    core = textscan.mix(textscan.span_hash(sums, start, start + span - PARTED + 1) + block.astype(np.uint64) + np.uint64(1))
+    cold = np.ones(len(h), bool)
+    cold[heat] = False
+    made = (text[own], place[own] - most, place[own] - least, start, core)
+    return tuple(np.concatenate([x[cold], y]) for x, y in zip((text, first, last, place, h), made, strict=True))
 
 
 def _segments(at: np.ndarray, span: int) -> Iterator[tuple[int, int, int, int]]:
@@ -115,7 +139,7 @@ def _segments(at: np.ndarray, span: int) -> Iterator[tuple[int, int, int, int]]:
         lo = hi
 
 
-def text_anchors(docs: DataFrame) -> DataFrame:
+def text_anchors(docs: DataFrame, hot: np.ndarray = NONE) -> DataFrame:
     """docs: th, text. h (hash of the anchor), th, at: the first window start << 18, the anchor's
     distance from it << 10, the number of further windows << 2, and the kind.
 
@@ -137,7 +161,7 @@ def text_anchors(docs: DataFrame) -> DataFrame:
             parts = []
             for lo, hi, start, stop in _segments(at, SPAN):
                 edges = np.clip(at[lo : hi + 1], start, stop) - start
-                text, first, last, place, h = anchors(data[start:stop], edges)
+                text, first, last, place, h = anchors(data[start:stop], edges, hot=hot)
                 packed = ((first + start - at[lo + text]) << 16) | ((place - first) << 8) | (last - first)
                 parts.append((h, lo + text, packed))
             if not parts:
@@ -495,9 +519,10 @@ def _merged_spans(runs: DataFrame) -> DataFrame:
     return runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "th binary, spans binary")
 
 
-def _splitters(plain: DataFrame, parallel: int) -> list[bytes]:
-    """Anchors of a sample of the texts that part the suffixes into even ranges of about RANGE
-    bytes, even if all of them repeat."""
+def _sampled(plain: DataFrame, parallel: int) -> tuple[list[bytes], np.ndarray]:
+    """From a sample of the texts: anchors that part the suffixes into even ranges of about
+    RANGE bytes, even if all of them repeat; and the hashes of anchors that a 1 / HOT of the
+    sampled texts and HOT_TEXTS of them at least hold, of which there are few."""
     texts, size = plain.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     ranges = max(parallel, -(-size * SPREAD // RANGE))
     share = F.pmod(F.xxhash64("th"), F.lit(1 << 40)) < int((1 << 40) * min(1, SAMPLE_TEXTS / max(texts, 1)))
@@ -507,12 +532,17 @@ def _splitters(plain: DataFrame, parallel: int) -> list[bytes]:
             data, at = textscan.buffers(batch.column(0))
             for lo, hi, start, stop in _segments(at, SPAN):
                 part = data[start:stop]
-                *_, place, h = anchors(part, np.clip(at[lo : hi + 1], start, stop) - start)
-                place = place[h & np.uint64(7) == 0]
-                yield pa.RecordBatch.from_arrays([pa.array([part[a : a + GRAM].tobytes() for a in place.tolist()], pa.binary())], ["gram"])
+                text, _, _, place, h = anchors(part, np.clip(at[lo : hi + 1], start, stop) - start)
+                _, first = np.unique(np.stack([h, text.astype(np.uint64)], 1), axis=0, return_index=True)
+                grams = [part[a : a + GRAM].tobytes() if k & 7 == 0 else None for a, k in zip(place[first].tolist(), h[first].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(grams, pa.binary())], ["h", "gram"])
 
-    grams = sorted(plain.filter(share).select("text").mapInArrow(run, "gram binary").limit(SAMPLE).toArrow()["gram"].to_pylist())
-    return sorted({grams[len(grams) * k // ranges] for k in range(1, ranges)}) if grams else []
+    # copies are one text
+    drawn = plain.filter(share).groupBy("th").agg(F.first("text").alias("text")).select("text").mapInArrow(run, "h long, gram binary")
+    grams = sorted(drawn.filter("gram is not null").select("gram").limit(SAMPLE).toArrow()["gram"].to_pylist())
+    many = max(HOT_TEXTS, min(texts, SAMPLE_TEXTS) // HOT)
+    hot = drawn.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= many).select("h").toArrow()["h"].to_numpy()
+    return sorted({grams[len(grams) * k // ranges] for k in range(1, ranges)}) if grams else [], np.sort(hot.view(np.uint64))
 
 
 def repeats(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataFrame:
@@ -520,9 +550,9 @@ def repeats(docs: DataFrame, text: str = "text", with_text: bool = False) -> Dat
     copies."""
     parallel = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     plain = docs.select(text_key(text).alias("th"), text_of(text).alias("text")).filter(F.octet_length("text") >= SPAN)
+    splitters, hot = _sampled(plain, parallel)
     deal = F.when(F.col("at").bitwiseAND(3) == SURE, F.xxhash64("th", "at")).otherwise(F.col("h"))
-    dealt = text_anchors(plain).repartition(deal).sortWithinPartitions("h", "th", "at")
-    splitters = _splitters(plain, parallel)
+    dealt = text_anchors(plain, hot).repartition(deal).sortWithinPartitions("h", "th", "at")
     places = repeated_anchors(dealt).groupBy("th").agg(F.collect_set("at").alias("places"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -165,6 +165,19 @@ def test_repeated_passages(docs, prose, monkeypatch):
     assert all(0 <= n - gone - sizes[i] <= 6 for i, (n, gone, _, _) in enumerate(brute_removed(texts)))
 
 
+def test_hot_anchors_are_parted(docs, prose, monkeypatch):
+    monkeypatch.setattr(X, "HOT_TEXTS", 3)
+    line, draw = prose(70), random.Random(4)
+    texts = repeated_texts(prose) + [prose(draw.randint(5, 40)) + " " + line[draw.choice((0, 0, 0, 30, 77)) :] + prose(draw.randint(0, 40)) for _ in range(25)]
+    texts += [texts[-1][:-3] + "abc", "u" * 700]
+    rows = docs(list(enumerate(texts)))
+    plain = rows.select(X.text_key("text").alias("th"), X.text_of("text").alias("text"))
+    splitters, hot = X._sampled(plain, 4)
+    assert len(hot) > 3 and splitters == sorted(splitters)
+    got = {r.doc_id: tuple(r)[1:] for r in X.measure_repeats(rows).collect()}
+    assert got == dict(enumerate(brute_removed(texts)))
+
+
 def test_repeated_passages_of_odd_rows(docs, prose):
     text = prose(60)
     rows = X.measure_repeats(docs([(1, text), (1, text), (None, prose(50)), (2, "short")])).collect()
