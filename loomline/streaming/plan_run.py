@@ -83,12 +83,8 @@ class PlanRun:
         return chain
 
     def _heads(self) -> list[str]:
-        """The first operators of the chains to run, inputs first."""
-        heads = {op: self._head(op) for op in self.plan.order}
-        wanted = set(self.plan.sources) | {heads[m.step] for m in self.marks.values()}
-        above = {heads[i] for op in wanted for i in self.plan.upstream(op)} if wanted else set()
-        # what a wanted chain reads may be computed on the way, but what streams must have streamed
-        wanted |= {h for h in above if h in self.runs}
+        """The first operators of the chains to run, inputs first; one that has begun stays."""
+        wanted = {*self.plan.sources, *self.runs, *(self._head(m.step) for m in self.marks.values())}
         return [op for op in self.plan.order if op in wanted]
 
     def _head(self, op: str) -> str:
