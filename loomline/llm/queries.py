@@ -31,7 +31,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = piece_codec.decode(piece_codec.encode(docs, piece_vocabulary()), piece_vocabulary())
+    coded = piece_codec.round_trip(docs, piece_vocabulary())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -135,6 +135,8 @@ def test_piece_codec_is_the_librarys(spark, docs, prose):
     out = C.decode(C.encode(docs(list(enumerate(texts))), piece_vocabulary()), piece_vocabulary()).collect()
     assert {r.doc_id: r.text for r in out} == {i: t or "" for i, t in enumerate(texts)}
     assert C.encode(docs([]), piece_vocabulary()).count() == 0
+    once = C.round_trip(docs(list(enumerate(texts))), piece_vocabulary()).collect()
+    assert sorted(map(str, once)) == sorted(map(str, out)) and C.round_trip(docs([]), piece_vocabulary()).count() == 0
 
 
 def test_long_words_fall_into_parts(prose):
