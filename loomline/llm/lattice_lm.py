@@ -219,7 +219,7 @@ def _chunk(name: str, rows: pa.RecordBatch, data: np.ndarray, at: np.ndarray, co
     for words in textscan.word_blocks(data, at):
         if not len(words.starts):
             continue
-        first, inverse, _ = textscan.distinct(words.hashes(folded=True), words.hashes(folded=True, family=1))
+        first, inverse, _ = textscan.distinct(*words.hashes(folded=True))
         low = words.data.copy()
         low[(low >= 65) & (low <= 90)] += 32
         raw = textscan.split_at(low, words.starts[first], words.ends[first])

@@ -68,7 +68,7 @@ def text_words(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarr
     for words in textscan.word_blocks(data, at):
         if not len(words.starts):
             continue
-        hashes = np.stack([words.hashes(folded=True, family=k) for k in range(2)])
+        hashes = np.stack(words.hashes(folded=True))
         edges = np.flatnonzero(np.diff(words.rows)) + 1
         for number, part in zip(words.rows[np.concatenate([[0], edges])].tolist(), np.split(hashes, edges, axis=1), strict=True):
             if number != row and held:

@@ -105,7 +105,7 @@ class WordEncoder:
 
     def encode(self, words: textscan.Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the block's words one after the other, and how many each word has."""
-        return self.memo.get(words.hashes(), words.hashes(family=1), lambda picked: self._encode_new(words.data, words.starts[picked], words.ends[picked]))
+        return self.memo.get(*words.hashes(), lambda picked: self._encode_new(words.data, words.starts[picked], words.ends[picked]))
 
 
 def encode_texts(column: pa.Array, path: str, end: int = END) -> tuple[np.ndarray, np.ndarray]:

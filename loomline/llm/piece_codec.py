@@ -311,8 +311,7 @@ class Codec:
         return np.concatenate(parts) if parts else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(sizes)])
 
     def _units(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        one, two = (textscan.run_hash(data, starts, ends, family=k) for k in range(2))
-        return self.memo.get(one, two, lambda picked: self._new(textscan.split_at(data, starts[picked], ends[picked])))
+        return self.memo.get(*textscan.run_hashes(data, starts, ends), lambda picked: self._new(textscan.split_at(data, starts[picked], ends[picked])))
 
 
 class Decoder:

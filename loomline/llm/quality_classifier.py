@@ -78,7 +78,7 @@ def text_features(texts: pa.Array) -> np.ndarray:
     letters = np.zeros(n)
     for block in textscan.word_blocks(data, at):
         if len(block.starts):
-            words.append(block.hashes(folded=True))
+            words.append(textscan.run_hashes(block.data, block.starts, block.ends, folded=True, families=1)[0])
             rows.append(block.rows)
             letters += np.bincount(block.rows, block.ends - block.starts, n)
     word, row = np.concatenate(words), np.concatenate(rows)

@@ -73,20 +73,31 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def run_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = False, family: int = 0) -> np.ndarray:
-    """64-bit hashes of spans of at least a byte that don't overlap: a random value for each
-    byte times a random one for its place in the span, summed. The two families are independent."""
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = False, families: int = 2) -> list[np.ndarray]:
+    """64-bit hashes, by each family, of spans of at least a byte that don't overlap: a random
+    value for each byte times a random one for its place in the span, summed. The families are
+    independent."""
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return [np.zeros(0, np.uint64)] * families
     lengths = ends - starts
     at = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
-    values = _TABLES[family][folded][data[ranges(starts, lengths)]]
-    if (longest := int(lengths.max())) > PLACES:
-        values = values * (draws(longest // PLACES + 1, 25 + family) | np.uint64(1))[place // PLACES]
-        place %= PLACES
-    values = values * _PLACES[family][place]
-    return mix(np.add.reduceat(values, at) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    letters = data[place + np.repeat(starts, lengths)]
+    longest, block = int(lengths.max()), None
+    if longest > PLACES:
+        block, place = place // PLACES, place % PLACES
+    out = []
+    for k in range(families):
+        values = _TABLES[k][folded][letters] * _PLACES[k][place]
+        if block is not None:
+            values *= (draws(longest // PLACES + 1, 25 + k) | np.uint64(1))[block]
+        out.append(mix(np.add.reduceat(values, at) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return out
+
+
+def run_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first family's run_hashes."""
+    return run_hashes(data, starts, ends, families=1)[0]
 
 
 def distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -156,8 +167,9 @@ class Words:
     ends: np.ndarray
     rows: np.ndarray
 
-    def hashes(self, folded: bool = False, family: int = 0) -> np.ndarray:
-        return run_hash(self.data, self.starts, self.ends, folded, family)
+    def hashes(self, folded: bool = False) -> list[np.ndarray]:
+        """The words' run_hashes."""
+        return run_hashes(self.data, self.starts, self.ends, folded)
 
 
 def _cuts(data: np.ndarray, at: np.ndarray, block: int) -> Iterator[tuple[int, int]]:
