@@ -1,6 +1,6 @@
 """Console: choose and run a plan, with breakpoints, pauses and resumes.
 
-python -m loomline.cli --sf-dir DIR, then: list, choose N|FILE, show, run, pause, resume,
+python -m loomline.cli --sf-dir DIR, then: list, choose N|FILE, show, run, pause [STEP], resume [STEP],
 set condition STEP PREDICATE, set count [STEP] N, wait, result (its first ROWS rows), quit."""
 
 from __future__ import annotations
@@ -44,10 +44,10 @@ class Console:
                 return self.plan
             case ["run"]:
                 return self._ready().start().state.value
-            case ["pause"]:
-                return self._ready().pause().value
-            case ["resume"]:
-                return self._ready().resume().value
+            case ["pause", *step]:
+                return self._ready().pause(*step).value
+            case ["resume", *step]:
+                return self._ready().resume(*step).value
             case ["wait"]:
                 return self._ready().wait().value
             case ["set", "condition", step, *predicate]:

@@ -33,6 +33,7 @@ class PlanRun:
         self.state = RunState.READY
         self.marks: dict[str, CountBreakpoint | ConditionalBreakpoint] = {}
         self.runs: dict[str, WorkflowRun] = {}
+        self.held: set[str] = set()
         self._at: str | None = None
         self._early = False
 
@@ -164,6 +165,9 @@ class PlanRun:
         for head in self._heads():
             run = self.runs.get(head) or self._run_of(head)
             self.runs[head] = run
+            if run.state is not RunState.COMPLETED and self.held.intersection(self._chain(head)):
+                self._to(RunState.PAUSED)
+                return
             if run.state is not RunState.COMPLETED:
                 self._at = head
                 if run.state is RunState.PAUSED:
@@ -172,8 +176,15 @@ class PlanRun:
                 return
         self._to(RunState.COMPLETED)
 
-    def pause(self) -> RunState:
-        """End the chain's query between batches; a completed run stays so."""
+    def pause(self, step: str | None = None) -> RunState:
+        """End the chain's query between batches; a completed run stays so. With an operator:
+        now, if its chain is under way, else before that starts."""
+        if step is not None:
+            if step not in self.plan.ops:
+                raise BreakpointError(f"no step {step!r} in {list(self.plan.ops)}")
+            self.held.add(step)
+            if not self._at or step not in self._chain(self._at):
+                return self.state
         if self.state is RunState.READY:
             self._early = True
             return self._to(RunState.PAUSED)
@@ -183,7 +194,9 @@ class PlanRun:
             self._to(RunState.PAUSED)
         return self.state
 
-    def resume(self) -> RunState:
+    def resume(self, step: str | None = None) -> RunState:
+        """Go on; with an operator: let it go on, and the run if nothing else holds it."""
+        self.held = self.held - {step} if step is not None else set()
         if self.state is RunState.PAUSED:
             self._to(RunState.RESUMING)
             if self._early:

@@ -172,3 +172,16 @@ def test_files_stream_as_they_lie(spark, tmp_path, rows):
         run.resume()
     assert counts == [17, 18] and rows(run.result()) == [(n,) for n in range(2, 101, 2)]
     assert not (tmp_path / "run/staged").exists()
+
+
+def test_one_operator_is_held(spark, tmp_path):
+    run = plan_run(spark, join_plan(spark, tmp_path), f"{tmp_path}/run")
+    run.pause("right")
+    assert run.start().wait() is RunState.PAUSED
+    assert run.runs["left"].state is RunState.COMPLETED and not run.runs["right"].output().count()
+    run.pause("left")  # has put out all its rows, so nothing is left to hold
+    assert run.resume("left") is RunState.PAUSED
+    assert run.resume("right") is RunState.RUNNING
+    assert run.wait() is RunState.COMPLETED and run.result().count() == 15
+    with pytest.raises(BreakpointError, match="no step"):
+        run.pause("lost")

@@ -11,6 +11,7 @@ from loomline.plans.workflow import Link, Op
 from loomline.sources.generate import generate
 
 
+# The keys and operator names of plans.
 def plan(ops, links):
     return json.dumps({"operators": ops, "links": [{"origin": a, "destination": b} for a, b in links]})
 
